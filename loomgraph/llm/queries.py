@@ -15,5 +15,32 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join,)}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.chat_format import format_conversations, formatted_digest
+
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return formatted_digest(format_conversations(rows.unionByName(extra)))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.token_files import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", end=0)
+
+
+def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.bin_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end=1, capacity=4096)
+
+
+def op10_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.media_ts import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op5_chat_format, op7_token_files, op8_bin_packing, op10_media_ts)}
 ORACLES: dict[str, str] = {}
