@@ -127,17 +127,18 @@ class SegmentEncoder:
             counts.append(len(keys) - was)
         if len(self.known) > _MOST_SEGMENTS or len(self.flat) > _MOST_IDS:
             self.clear()
-        if missing := [k for k in set(keys) if k not in self.known]:
-            self._learn(missing)
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        found = list(map(self.known.get, keys))
+        if None in found:
+            self._learn(list({k for k, i in zip(keys, found, strict=True) if i is None}))
+            found = list(map(self.known.__getitem__, keys))
+        at = np.array(found, dtype=np.int64)
         for key in whole:
             self.known.pop(key, None)
-        lengths = np.array(self.length, dtype=np.int64)[at]
-        starts = np.array(self.first, dtype=np.int64)[at]
+        lengths = np.frombuffer(self.length, dtype=np.int64)[at] if keys else np.zeros(0, np.int64)
+        starts = np.frombuffer(self.first, dtype=np.int64)[at] if keys else np.zeros(0, np.int64)
         before = np.concatenate(([0], np.cumsum(lengths)))
         bounds = before[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        flat = np.array(self.flat, dtype=np.uint32)
-        ids = flat[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.uint32)
+        ids = np.frombuffer(self.flat, dtype=np.uint32)[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.uint32)
         if end is not None:
             ids = np.insert(ids, bounds[1:], np.uint32(end))
             bounds = bounds + np.arange(len(bounds))
