@@ -68,14 +68,17 @@ def bins(patterns: list[Pattern]) -> int:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: by volume, and by pieces of which no two share a bin, with what cannot join them."""
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    for k in {0, *(n for n in counts if 2 * n <= capacity)}:
-        alone = sum(c for n, c in counts.items() if n > capacity - k)
-        halves = [(n, c) for n, c in counts.items() if capacity / 2 < n <= capacity - k]
-        small = sum(n * c for n, c in counts.items() if k <= n <= capacity / 2)
-        room = sum((capacity - n) * c for n, c in halves)
-        best = max(best, alone + sum(c for _, c in halves) + max(0, -(-(small - room) // capacity)))
-    return best
+    if not counts:
+        return 0
+    n = np.array(sorted(counts), dtype=np.int64)
+    c = np.array([counts[x] for x in n.tolist()], dtype=np.int64)
+    pieces, volume = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(n * c)))
+    k = np.concatenate(([0], n[2 * n <= capacity]))
+    low, half, high = (np.searchsorted(n, x, side=s) for x, s in ((k, "left"), (capacity // 2, "right"), (capacity - k, "right")))
+    over = pieces[-1] - pieces[half]  # no two of them share a bin
+    room = (pieces[high] - pieces[half]) * capacity - (volume[high] - volume[half])
+    small = volume[half] - volume[low]
+    return int(max(-(-volume[-1] // capacity), (over + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def _fits_into(items: tuple[int, ...], rooms: list[int]) -> bool:
@@ -124,7 +127,7 @@ def undominated_fillings(counts: dict[int, int], room: int, waste: int, width: i
     return kept[:width]
 
 
-def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 20_000, width: int = 4) -> list[Pattern]:
+def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 1_000, width: int = 4) -> list[Pattern]:
     """A packing of counts[length] pieces of each length as patterns; the fewest bins found (see the module's text)."""
     counts = {n: c for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
@@ -143,7 +146,7 @@ def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 20_00
         rest = best_fit_decreasing(left, capacity)
         if bins(made) + bins(rest) < bins(incumbent):
             incumbent = made + rest
-        if not left or bins(made) + lower_bound(left, capacity) >= bins(incumbent):
+        if not left or bins(made) + -(-sum(n * c for n, c in left.items()) // capacity) >= bins(incumbent):
             continue
         largest = max(left)
         others = Counter(left)
