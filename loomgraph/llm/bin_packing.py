@@ -203,13 +203,11 @@ def _pieces(tokenizer: str, end: int, capacity: int):
             ids_of = batch.column(0).to_pylist()
             rows = []
             for at, texts in slices(batch.column(1).to_pylist()):
-                ids, bounds = encoder.encode(texts, end)
-                ids = ids.astype("<u4")
-                for i in range(len(texts)):
-                    for piece, start in enumerate(range(bounds[i], bounds[i + 1], capacity)):
-                        to = min(start + capacity, bounds[i + 1])
-                        n = int(to - start)
-                        rows.append((ids_of[at + i], piece, int(start - bounds[i]), n, zlib.crc32(ids[start:to].tobytes()), part, ranks[n]))
+                for i, raw in enumerate(encoder.encode(texts, end)):
+                    for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
+                        part_ids = raw[4 * start : 4 * (start + capacity)]
+                        n = len(part_ids) // 4
+                        rows.append((ids_of[at + i], piece, start, n, zlib.crc32(part_ids), part, ranks[n]))
                         ranks[n] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)

@@ -55,7 +55,7 @@ def _blocks(tokenizer: str, end: int, block_ids: int):
         docs, lengths, held, size, block, first = [], [], [], 0, 0, 0
 
         def block_row():
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), "<u4")
             counts = np.bincount(ids)
             ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
             ranks = np.zeros(len(counts), np.uint32)
@@ -68,16 +68,15 @@ def _blocks(tokenizer: str, end: int, block_ids: int):
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, texts in slices(batch.column(1).to_pylist()):
-                ids, bounds = encoder.encode(texts, end)
-                for i in range(len(texts)):
-                    n = int(bounds[i + 1] - bounds[i])
+                for i, raw in enumerate(encoder.encode(texts, end)):
+                    n = len(raw) // 4
                     if size and size + n > block_ids:
                         yield block_row()
                         block, first = block + 1, first + size
                         docs, lengths, held, size = [], [], [], 0
                     docs.append(names[at + i])
                     lengths.append(n)
-                    held.append(ids[bounds[i] : bounds[i + 1]])
+                    held.append(raw)
                     size += n
         if docs:
             yield block_row()

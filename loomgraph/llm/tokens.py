@@ -5,14 +5,19 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
-from array import array
+from itertools import islice
 
 import numpy as np
 
 #: A space in the middle of a run of white space: there a split could change how the run is cut.
 _IN_RUN = re.compile(r"\s (?:\s|\Z)")
-_MOST_SEGMENTS, _MOST_IDS = 1 << 20, 1 << 23
+#: A newline beside other white space or at an end.
+_LONELY = re.compile(r"\s\n|\n\s|\n\Z|\A\n")
+_MOST_SEGMENTS = 1 << 20
+_STOPS = (".", ",")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def _byte_characters() -> dict[int, str]:
@@ -37,7 +42,8 @@ class SegmentEncoder:
 
     A text is cut where the tokenizer's pre-tokenizer always cuts, so segments encode independently: at ASCII spaces
     and newlines if white space is dropped, else before a space that is not inside a run of white space (a text with
-    such a run is encoded whole). Each distinct segment is encoded by the library once and then looked up.
+    such a run is encoded whole) and before single newlines. Each distinct segment is encoded by the library once and
+    then looked up; a segment of letters goes straight to the library's model, as the pre-tokenizer would leave it whole.
     """
 
     def __init__(self, path: str):
@@ -52,7 +58,7 @@ class SegmentEncoder:
             raise ValueError("segments of this tokenizer's texts may not be independent")
         self.size = self.tokenizer.get_vocab_size()
         single = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.stops = {x: single(x)[0] for x in ".,"}
+        self.stops = {x: single(x)[0] for x in _STOPS}
         self.newline = None if self.drops_space else single("\n")[0]
         self.clear()
 
@@ -64,85 +70,71 @@ class SegmentEncoder:
         return _LOADED[path]
 
     def clear(self) -> None:
-        self.known: dict = {}
-        self.flat, self.first, self.length = array("I"), array("q"), array("q")
-
-    def _word(self, text: str) -> list[int] | None:
-        """The ids of a text that is one pre-token of letters (after a space, if white space is kept) and perhaps a stop."""
-        tail = text[-1:] if text[-1:] in (".", ",") else ""
-        body = text[: len(text) - len(tail)]
-        letters = body[1:] if body[:1] == " " else body
-        if not letters.isalpha() or (self.drops_space and (max(letters) >= "\u0250" or not letters.lower().isalpha())):
-            return None
-        if tail and self.drops_space is False and (at := self.known.get(letters)) is not None and body[0] == " ":
-            ids = list(self.flat[self.first[at] : self.first[at] + self.length[at]])
-        else:
-            shown = unicodedata.normalize("NFC", body).lower() if self.drops_space else body
-            ids = [t.id for t in self.tokenizer.model.tokenize(shown.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
-        return ids + [self.stops[tail]] if tail else ids
-
-    def _simple(self, text: str) -> list[int] | None:
-        """The ids of words that single newlines part; None if the text is anything else."""
-        if self.drops_space or "\n" not in text:
-            return self._word(text)
-        ids: list[int] = []
-        for i, line in enumerate(text.split("\n")):
-            if (more := self._word(line)) is None:
-                return None
-            ids += [self.newline, *more] if i else more
-        return ids
+        self.known: dict = {}  # segment -> its ids as little-endian unsigned 32-bit integers
+
+    def _learn_words(self, keys: list[str]) -> list[str]:
+        """Learns keys that are one pre-token of letters, perhaps with a stop behind; gives back the others."""
+        tails = [k[-1:] if k[-1:] in _STOPS else "" for k in keys]
+        bodies = [k[k[:1] == "\n" : len(k) - len(t)] for k, t in zip(keys, tails, strict=True)]
+        plain = [b.isalpha() for b in bodies]
+        shown = "\n".join([b if ok else "" for b, ok in zip(bodies, plain, strict=True)])
+        if self.drops_space:
+            shown = unicodedata.normalize("NFC", shown).lower()
+            if not shown.isascii():  # beyond Latin, lower case may not go by single letters
+                shown = "\n".join(["" if w and (max(w) >= "\u0250" or not w.isalpha()) else w for w in shown.split("\n")])
+        space = "" if self.drops_space else _BYTE_CHARACTERS[32]
+        words = shown.encode().decode("latin-1").translate(_BYTE_CHARACTERS | {10: "\n"}).split("\n")
+        tokenize, known, pack, rest = self.tokenizer.model.tokenize, self.known, _PACK, []
+        for key, tail, word in zip(keys, tails, words, strict=True):
+            if word:
+                ids = [self.newline, *[t.id for t in tokenize(word)]] if key[0] == "\n" else [t.id for t in tokenize(space + word)]
+                if tail:
+                    ids.append(self.stops[tail])
+                known[key] = pack[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
+            else:
+                rest.append(key)
+        return rest
 
     def _learn(self, keys: list) -> None:
-        rest, found = [], []
-        for key in keys:
-            text = key if self.drops_space else " " + key if isinstance(key, str) else key[0]
-            if len(text) > 1 and (ids := self._simple(text)) is not None:
-                found.append((key, ids))
-            else:
-                rest.append((key, text))
+        rest = [k for k in keys if not isinstance(k, str)]
+        rest += self._learn_words([k for k in keys if isinstance(k, str)])
         for i in range(0, len(rest), 5000):
             part = rest[i : i + 5000]
-            found += [(k, e.ids) for (k, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True)]
-        for key, ids in found:
-            self.known[key] = len(self.first)
-            self.first.append(len(self.flat))
-            self.length.append(len(ids))
-            self.flat.extend(ids)
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another (uint32), each followed by end if given, and n + 1 offsets."""
+            texts = [k[0] if isinstance(k, tuple) else k if self.drops_space or k[:1] == "\n" else " " + k for k in part]
+            for key, encoding in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[key] = np.array(encoding.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, followed by end if given."""
         keys: list = []
-        counts, whole = [], []
+        bounds, whole = [0], []
         for text in texts:
-            was = len(keys)
             if text and self.drops_space:
                 keys += text.replace("\n", " ").split(" ")
             elif text and not _IN_RUN.search(text):
-                parts = text.split(" ")
-                keys.append((parts[0],))
-                keys += parts[1:]
+                if "\n" not in text:
+                    parts = text.split(" ")
+                elif not _LONELY.search(text):  # single newlines between words: a part that begins with one has no space before it
+                    parts = text.replace("\n", " \n").split(" ")
+                else:
+                    parts = [(" " + p,) if "\n" in p else p for p in text.split(" ")]
+                    parts[0] = parts[0][0][1:] if isinstance(parts[0], tuple) else parts[0]
+                parts[0] = (parts[0],)
+                keys += parts
             elif text:
                 keys.append((text,))
                 whole.append(keys[-1])
-            counts.append(len(keys) - was)
-        if len(self.known) > _MOST_SEGMENTS or len(self.flat) > _MOST_IDS:
-            self.clear()
+            bounds.append(len(keys))
+        if len(self.known) > _MOST_SEGMENTS:  # segments met early are the frequent ones
+            self.known = dict(islice(self.known.items(), _MOST_SEGMENTS // 2))
         found = list(map(self.known.get, keys))
         if None in found:
-            self._learn(list({k for k, i in zip(keys, found, strict=True) if i is None}))
+            self._learn(list({k for k, ids in zip(keys, found, strict=True) if ids is None}))
             found = list(map(self.known.__getitem__, keys))
-        at = np.array(found, dtype=np.int64)
         for key in whole:
             self.known.pop(key, None)
-        lengths = np.frombuffer(self.length, dtype=np.int64)[at] if keys else np.zeros(0, np.int64)
-        starts = np.frombuffer(self.first, dtype=np.int64)[at] if keys else np.zeros(0, np.int64)
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        bounds = before[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        ids = np.frombuffer(self.flat, dtype=np.uint32)[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.uint32)
-        if end is not None:
-            ids = np.insert(ids, bounds[1:], np.uint32(end))
-            bounds = bounds + np.arange(len(bounds))
-        return ids, bounds
+        last = b"" if end is None else end.to_bytes(4, "little")
+        return [b"".join(found[a:b]) + last for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def slices(texts: list[str | None], most: int = 1 << 20):
