@@ -42,6 +42,10 @@ def _is(position: str, t: Term) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{position}.{n}").eqNullSafe(F.lit(x)) for n, x in zip(names, t, strict=True)])
 
 
+def _same(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in "spog"])
+
+
 @dataclass(frozen=True)
 class RdfStore:
     quads: DataFrame
@@ -53,12 +57,11 @@ class RdfStore:
 
     def add(self, quads: DataFrame) -> tuple["RdfStore", DataFrame]:
         """The store with quads, and those of them that are new."""
-        new = quads.select("s", "p", "o", "g").distinct().join(self.quads.withColumn("__held", F.lit(True)).alias("h"), reduce(lambda a, b: a & b, [quads[c].eqNullSafe(F.col(f"h.{c}")) for c in "spog"]), "left_anti")
+        new = quads.select(*"spog").distinct().alias("x").join(self.quads.alias("h"), _same("x", "h"), "left_anti")
         return RdfStore(self.quads.unionByName(new)), new
 
     def delete(self, quads: DataFrame) -> "RdfStore":
-        gone = quads.alias("x")
-        return RdfStore(self.quads.join(gone, reduce(lambda a, b: a & b, [self.quads[c].eqNullSafe(F.col(f"x.{c}")) for c in "spog"]), "left_anti"))
+        return RdfStore(self.quads.alias("h").join(quads.alias("x"), _same("h", "x"), "left_anti"))
 
     def match(self, s: Term | None = None, p: Term | None = None, o: Term | None = None, g: Term | None = None) -> DataFrame:
         """Quads with the given terms, in all graphs unless one is given; filters reach the scan."""
