@@ -15,6 +15,7 @@ block of its own.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,14 @@ def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[_FIRST < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = raw[starts].astype("<u4")
+    longer = np.flatnonzero(lengths > 1)
+    for byte in (1, 2, 3):
+        out[longer] |= raw[starts[longer] + byte].astype("<u4") << np.uint32(8 * byte)
+        longer = longer[lengths[longer] > byte + 1]
+    return out
 
 
 def _blocks(tokenizer: str, end: int, block_ids: int):
@@ -91,8 +97,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     ordered.mapInArrow(_blocks(tokenizer, end, block_ids), BLOCK).write.parquet(folder)
 
 
-def _decoded(bases: dict[int, int]):
-    """Task: the documents of each block with their ids."""
+def _decoded(bases: dict[int, int], digest: bool = False):
+    """Task: the documents of each block with their ids, or with the crc32 of those."""
 
     def run(batches):
         for batch in batches:
@@ -103,20 +109,24 @@ def _decoded(bases: dict[int, int]):
                 lengths = row["lengths"].values
                 bounds = np.concatenate(([0], np.cumsum(lengths.to_numpy(), dtype=np.int64)))
                 start = bases[row["shard"].as_py()] + row["first"].as_py() + bounds[:-1]
-                raw = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), lengths, pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                spans = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+                last = pa.array([zlib.crc32(ids[a:b]) for a, b in spans], pa.int64()) if digest else pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), lengths, last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return run
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) from files of write_tokens(); ids are little-endian unsigned 32-bit."""
+def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) from files of write_tokens(); ids are little-endian unsigned 32-bit.
+
+    digest: ids_crc32 in place of the ids.
+    """
     blocks = spark.read.schema(BLOCK).parquet(folder)
     totals = dict(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())  # one row per shard
     bases, before = {}, 0
     for shard in sorted(totals):
         bases[shard], before = before, before + totals[shard]
-    return blocks.mapInArrow(_decoded(bases), "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(_decoded(bases, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
@@ -124,4 +134,4 @@ def token_digest(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
     write_tokens(docs, folder, **options)
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, digest=True)

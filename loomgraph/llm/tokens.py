@@ -15,7 +15,7 @@ import numpy as np
 _IN_RUN = re.compile(r"\s (?:\s|\Z)")
 #: A newline beside other white space or at an end.
 _LONELY = re.compile(r"\s\n|\n\s|\n\Z|\A\n")
-_MOST_SEGMENTS = 1 << 20
+_MOST_SEGMENTS = 3 << 19
 _STOPS = (".", ",")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
@@ -97,7 +97,8 @@ class SegmentEncoder:
 
     def _learn(self, keys: list) -> None:
         rest = [k for k in keys if not isinstance(k, str)]
-        rest += self._learn_words([k for k in keys if isinstance(k, str)])
+        if words := [k for k in keys if isinstance(k, str)]:
+            rest += self._learn_words(words)
         for i in range(0, len(rest), 5000):
             part = rest[i : i + 5000]
             texts = [k[0] if isinstance(k, tuple) else k if self.drops_space or k[:1] == "\n" else " " + k for k in part]

@@ -44,7 +44,7 @@ def test_variable_length_ids_round_trip():
         assert token_files.unpack_ids(*token_files.pack_ids(ranks), n).tolist() == ranks.tolist()
 
 
-def test_token_files(spark):
+def test_token_files(spark, tmp_path):
     want, before = [], 0
     for d, t in sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = encoded("byte_bpe_50k.json", t, 0)
@@ -53,6 +53,9 @@ def test_token_files(spark):
     got = token_files.token_digest(docs_of(spark, HARD), block_ids=50, shards=3).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_files.token_digest(docs_of(spark, [])).count() == 0
+    token_files.write_tokens(docs_of(spark, HARD), str(tmp_path / "t"), block_ids=50)
+    read = Counter((r.doc_id, bytes(r.ids)) for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert read == Counter((d, np.array(encoded("byte_bpe_50k.json", t, 0), "<u4").tobytes()) for d, t in HARD)
 
 
 def test_packing_hard_rows(spark):
