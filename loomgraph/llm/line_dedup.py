@@ -80,7 +80,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = save(docs.mapInArrow(_chunks(window, divisor, least), "doc_id long, doc long, start long, end long, digest binary"), "chunks")
     place = F.struct("doc_id", "doc", "start")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper <> last").select("digest", "keeper")
+    first = save(chunks.groupBy("digest").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper <> last").select("digest", "keeper"), "repeated")
     rows = chunks.join(first, "digest").withColumn("keeps", place == F.col("keeper"))
     spans = rows.groupBy("doc_id", "doc").agg(F.collect_set(F.struct("digest", "start", "end", "keeper", "keeps")).alias("spans"))
     # only repeated chunks bring their bytes
