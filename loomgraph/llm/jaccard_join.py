@@ -267,6 +267,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
         apart = save(apart.join(mixed, "token", "left_semi").distinct(), "apart")
         if apart.isEmpty():
             break
+        lists = apart.drop("root")  # components only grow, so the other lists are done
         if last:
             hubs = apart
         else:  # of each list, the most central member of a component that changes with the turn
