@@ -21,7 +21,9 @@ columns are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from pyspark.sql import types as T
 from loomgraph.llm.tokens import tokenizer_path
 
 SPACE = "▁"
-_MOST_KNOWN = 1 << 20
+_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
+_MOST_KNOWN, _MOST_FITTING = 1 << 20, 1 << 18
 _LOADED: dict = {}
 
 
@@ -45,9 +48,10 @@ class Pieces:
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.text_of = {i: p for p, i in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.spaced = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs)  # a piece may span a space
+        self.bytes_of = {i: p.encode() for p, i in pieces.items()} | {i: bytes([b]) for i, b in self.byte_of.items()} | {unknown: "⁇".encode()}
+        self.known: dict[str, bytes] = {}  # a word after a space -> its ids
         self.fitting: dict[tuple[str, str], bool] = {}
-        self.merged: dict[str, list[str]] = {}
 
     @classmethod
     def of(cls, name: str) -> "Pieces":
@@ -67,23 +71,22 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """Merges the best pair of neighbours, the first of equals, until none is left; for the few characters of two pieces."""
-        if (out := self.merged.get(text)) is None:
-            out = list(text)
-            while True:
-                best, at = None, -1
-                for i in range(len(out) - 1):
-                    score = self.scores.get(out[i] + out[i + 1])
-                    if score is not None and (best is None or score > best):
-                        best, at = score, i
-                if best is None:
-                    break
-                out[at : at + 2] = [out[at] + out[at + 1]]
-            self.merged[text] = out
-        return out
+        out = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(out) - 1):
+                score = self.scores.get(out[i] + out[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return out
+            out[at : at + 2] = [out[at] + out[at + 1]]
 
     def fits(self, left: str, right: str) -> bool:
         key = (left, right)
         if (out := self.fitting.get(key)) is None:
+            if len(self.fitting) > _MOST_FITTING:
+                self.fitting.clear()
             out = self.fitting[key] = self.merge(left + right) == ([left, right] if left else [right])
         return out
 
@@ -93,19 +96,22 @@ class Pieces:
         path: list[str] = [""] * (len(text) + 1)  # the piece that ends at each position; only the window is read
         best = [0.0] + [float("-inf")] * len(text)
         done = 0
+        known, fits, bpe = self.ids, self.fits, self.bpe
         for end in range(1, len(text) + 1):
             for start in range(max(done, end - self.longest), end):
                 piece = text[start:end]
-                if piece not in self.ids and end - start > 1 or (start > done and not path[start]):
-                    continue
-                if self.bpe:
-                    if self.fits(path[start], piece) if piece in self.ids else True:
+                if piece in known:
+                    if start > done and not path[start]:
+                        continue
+                    if not bpe:
+                        score = best[start] + self.scores[piece]
+                        if score > best[end]:
+                            best[end], path[end] = score, piece
+                    elif fits(path[start], piece):
                         path[end] = piece
                         break
-                else:
-                    score = best[start] + self.scores.get(piece, -1e6)
-                    if score > best[end]:
-                        best[end], path[end] = score, piece
+                elif end - start == 1 and not path[end]:  # a character without a piece
+                    path[end], best[end] = piece, best[start] - 1e6
             if end - done >= 2 * self.longest:
                 done = self._commit(text, path, done, end, ids)
         self._emit(path, done, len(text), ids)
@@ -137,59 +143,44 @@ class Pieces:
             else:
                 ids.append(self.unknown)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         text = SPACE + text.replace(" ", SPACE)
-        if len(self.known) > _MOST_KNOWN:
-            self.known.clear()
-            self.fitting.clear()
-            self.merged.clear()
-        out: list[int] = []
-        for part in self.split(text):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = tuple(self.segment(part))
-                if len(part) <= 64:
-                    self.known[part] = ids
-            out += ids
-        return out
+        if self.spaced:
+            return self._encode_part(text)
+        if len(self.known) > _MOST_KNOWN:  # words met early are the frequent ones
+            self.known = dict(islice(self.known.items(), _MOST_KNOWN // 2))
+        if SPACE * 2 in text:  # runs of spaces have pieces of their own
+            return b"".join([self._word(p[1:]) if p[1:2] != SPACE else self._encode_part(p) for p in _RUNS.findall(text)])
+        words = text.split(SPACE)[1:]
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._word(w) for w in words]
+        return b"".join(found)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._encode_part(SPACE + word)
+            if len(word) <= 64:
+                self.known[word] = ids
+        return ids
 
-    def split(self, text: str) -> list[str]:
-        """Segments between characters that no piece holds side by side."""
-        parts: list[str] = []
-        for word in self._words(text):
-            start = 0
-            for i in range(1, len(word)):
-                if word[i - 1 : i + 1] not in self.pairs:
-                    parts.append(word[start:i])
-                    start = i
-            parts.append(word[start:])
-        return parts
-
-    def _words(self, text: str) -> list[str]:
-        """A first, quick cut before each space that follows another character, if no piece has a space there."""
-        if not hasattr(self, "spaced"):
-            self.spaced = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs)
-            self.words = {}
-        if self.spaced or SPACE * 2 in text:
-            return [text]
-        first, *rest = text.split(SPACE)
-        return ([first] if first else []) + [SPACE + w for w in rest]
-
-    def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            out.append(self.text_of.get(i, "⁇"))
-        if held:
-            out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
+    def _encode_part(self, text: str) -> bytes:
+        """Segments between characters that no piece holds side by side are encoded on their own."""
+        ids, start, pairs = [], 0, self.pairs
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                ids += self.segment(text[start:i])
+                start = i
+        ids += self.segment(text[start:])
+        return np.array(ids, "<i4").tobytes()
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        text = raw.decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -203,9 +194,9 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col:
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                ids = [np.array(pieces.encode(t), dtype=np.int32) for t in part.column(at).to_pylist()]
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                ids = [pieces.encode(t) for t in part.column(at).to_pylist()]
+                bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=[*names, "ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -223,7 +214,7 @@ def decode_pieces(coded: DataFrame, model: str = "piece_bpe_32k.model", ids_col:
             texts, crcs = [], []
             for ids in column:
                 values = np.zeros(0, np.int32) if not ids.is_valid else ids.values.to_numpy()
-                texts.append(pieces.decode(values.tolist()))
+                texts.append(pieces.decode(values))
                 crcs.append(zlib.crc32(values.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(crcs, pa.int64())], names=[*names, "decoded", "ids_crc32"])
 
