@@ -35,7 +35,7 @@ from loomgraph.llm.tokens import tokenizer_path
 
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
-_MOST_KNOWN, _MOST_FITTING = 1 << 20, 1 << 18
+_MOST_KNOWN, _MOST_FITTING = 1 << 20, 1 << 14
 _LOADED: dict = {}
 
 
@@ -51,7 +51,14 @@ class Pieces:
         self.spaced = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs)  # a piece may span a space
         self.bytes_of = {i: p.encode() for p, i in pieces.items()} | {i: bytes([b]) for i, b in self.byte_of.items()} | {unknown: "⁇".encode()}
         self.known: dict[str, bytes] = {}  # a word after a space -> its ids
-        self.fitting: dict[tuple[str, str], bool] = {}
+        self.fitting: dict[str, dict[str, bool]] = {}  # left piece -> right piece -> whether they stay apart
+        self.made: dict[str, tuple[str, str] | None] = {}
+        self.tree: dict = {}  # characters of the pieces; "" holds the piece that ends at a node
+        for piece in pieces:
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = piece
 
     @classmethod
     def of(cls, name: str) -> "Pieces":
@@ -69,66 +76,93 @@ class Pieces:
             _LOADED[name] = cls(ids, scores, byte_ids, model.unk_id(), bpe)
         return _LOADED[name]
 
-    def merge(self, text: str) -> list[str]:
-        """Merges the best pair of neighbours, the first of equals, until none is left; for the few characters of two pieces."""
-        out = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(out) - 1):
-                score = self.scores.get(out[i] + out[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return out
-            out[at : at + 2] = [out[at] + out[at + 1]]
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes a piece, when its text alone is merged; None if it merges to something else."""
+        if piece not in self.made:
+            out, last = list(piece), ("", "")
+            while len(out) > 1:
+                scored = [(self.scores.get(x + y, float("-inf")), -i) for i, (x, y) in enumerate(zip(out[:-1], out[1:], strict=True))]
+                score, at = max(scored)
+                if score == float("-inf"):
+                    break
+                last = (out[-at], out[1 - at])
+                out[-at : 2 - at] = ["".join(last)]
+            self.made[piece] = last if len(out) == 1 else None
+        return self.made[piece]
 
     def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (out := self.fitting.get(key)) is None:
-            if len(self.fitting) > _MOST_FITTING:
-                self.fitting.clear()
-            out = self.fitting[key] = self.merge(left + right) == ([left, right] if left else [right])
-        return out
+        """Whether merging the texts of both together leaves them as they are.
+
+        Looks back in time at the parts that face each other at the border: a merge across it spoils the pair if it comes
+        before the merge that took one of the two parts into a larger one. Of equal merges the first in the text comes first.
+        """
+        if self.halves(right) is None:
+            return False
+        if not left:
+            return True
+        a, b, limit, on_right = left, right, float("-inf"), False
+        while True:
+            across = self.scores.get(a + b)
+            if across is not None and (across > limit or (across == limit and on_right)):
+                return False
+            when_a = self.scores[a] if len(a) > 1 else float("inf")
+            when_b = self.scores[b] if len(b) > 1 else float("inf")
+            if when_a == when_b == float("inf"):
+                return True
+            if when_a < when_b:
+                limit, on_right, a = when_a, False, self.halves(a)[1]
+            else:
+                limit, on_right, b = when_b, True, self.halves(b)[0]
 
     def segment(self, text: str) -> list[int]:
         """The ids of a segment: a window of backpointers, committed where the surviving paths meet."""
         ids: list[int] = []
-        path: list[str] = [""] * (len(text) + 1)  # the piece that ends at each position; only the window is read
-        best = [0.0] + [float("-inf")] * len(text)
+        size, longest, bpe, fitting = len(text), self.longest, self.bpe, self.fitting
+        path: list[str] = [""] * (size + 1)  # the piece that ends at each position; only the window is read
+        best = [0.0] + [float("-inf")] * size
         done = 0
-        known, fits, bpe = self.ids, self.fits, self.bpe
-        for end in range(1, len(text) + 1):
-            for start in range(max(done, end - self.longest), end):
-                piece = text[start:end]
-                if piece in known:
-                    if start > done and not path[start]:
-                        continue
-                    if not bpe:
-                        score = best[start] + self.scores[piece]
-                        if score > best[end]:
-                            best[end], path[end] = score, piece
-                    elif fits(path[start], piece):
+        for start in range(size):
+            left = path[start]
+            if start and not left:
+                continue
+            if (row := fitting.get(left)) is None:
+                if len(fitting) > _MOST_FITTING:
+                    fitting.clear()
+                row = fitting[left] = {}
+            node, end = self.tree, start
+            for character in text[start : start + longest]:
+                end += 1
+                if (node := node.get(character)) is None:
+                    break
+                if (piece := node.get("")) is None:
+                    continue
+                if not bpe:
+                    score = best[start] + self.scores[piece]
+                    if score > best[end]:
+                        best[end], path[end] = score, piece
+                elif not path[end]:
+                    if (fit := row.get(piece)) is None:
+                        fit = row[piece] = self.fits(left, piece)
+                    if fit:
                         path[end] = piece
-                        break
-                elif end - start == 1 and not path[end]:  # a character without a piece
-                    path[end], best[end] = piece, best[start] - 1e6
-            if end - done >= 2 * self.longest:
-                done = self._commit(text, path, done, end, ids)
-        self._emit(path, done, len(text), ids)
+            if not path[start + 1] and text[start] not in self.ids:  # a character without a piece
+                path[start + 1], best[start + 1] = text[start], best[start] - 1e6
+            if start - done >= 2 * longest:
+                done = self._commit(path, done, start, ids)
+        self._emit(path, done, size, ids)
         return ids
 
-    def _commit(self, text: str, path: list[str], done: int, end: int, ids: list[int]) -> int:
-        """Emits up to the boundary where the paths of all positions of the window meet, if there is one."""
-        reach = {p for p in range(end - self.longest + 1, end + 1) if path[p]}
+    def _commit(self, path: list[str], done: int, start: int, ids: list[int]) -> int:
+        """Emits up to the boundary where the paths to all positions after start meet, if there is one."""
+        reach = {p for p in range(start + 1, min(start + self.longest, len(path) - 1) + 1) if path[p]}
         while len(reach) > 1:
             far = max(reach)
             reach.remove(far)
             reach.add(far - len(path[far]))
-        at = reach.pop()
-        if at <= done:
-            return done
-        self._emit(path, done, at, ids)
-        return at  # path[at] stays: what follows must still fit the last committed piece
+        at = reach.pop() if reach else done
+        if at > done:
+            self._emit(path, done, at, ids)
+        return max(at, done)  # path[at] stays: what follows must still fit the last committed piece
 
     def _emit(self, path: list[str], start: int, end: int, ids: list[int]) -> None:
         found = []
