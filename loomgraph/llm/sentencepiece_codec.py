@@ -53,12 +53,12 @@ class Pieces:
         self.known: dict[str, bytes] = {}  # a word after a space -> its ids
         self.fitting: dict[str, dict[str, bool]] = {}  # left piece -> right piece -> whether they stay apart
         self.made: dict[str, tuple[str, str] | None] = {}
-        self.tree: dict = {}  # characters of the pieces; "" holds the piece that ends at a node
+        self.tree: dict = {}  # character -> [tree of what follows, the piece that ends here or None]
         for piece in pieces:
-            node = self.tree
+            node: list = [self.tree, None]
             for character in piece:
-                node = node.setdefault(character, {})
-            node[""] = piece
+                node = node[0].setdefault(character, [{}, None])
+            node[1] = piece
 
     @classmethod
     def of(cls, name: str) -> "Pieces":
@@ -129,12 +129,13 @@ class Pieces:
                 if len(fitting) > _MOST_FITTING:
                     fitting.clear()
                 row = fitting[left] = {}
-            node, end = self.tree, start
+            below, end = self.tree, start
             for character in text[start : start + longest]:
                 end += 1
-                if (node := node.get(character)) is None:
+                if (node := below.get(character)) is None:
                     break
-                if (piece := node.get("")) is None:
+                below, piece = node
+                if piece is None:
                     continue
                 if not bpe:
                     score = best[start] + self.scores[piece]
