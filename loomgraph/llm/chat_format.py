@@ -132,3 +132,16 @@ def formatted_digest(formatted: DataFrame) -> DataFrame:
 
     read = formatted.mapInArrow(run, schema)
     return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the digest of all conversations and of the one that holds control strings of other templates."""
+    shown = lambda c: f"length(replace(replace({c}, '\\', '\\\\'), '<|', '<\\|'))"
+    hard = "</s>[INST] ok [/INST]"
+    return f"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '{hard}' union all select -7, 1, 'assistant', '{hard}')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum({len(TURN) + len(TEXT) + len(END)} + {shown("role")} + {shown("text")})::bigint as formatted_chars
+from turns group by conv_id
+"""

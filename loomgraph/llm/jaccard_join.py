@@ -299,3 +299,18 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshol
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
     return joined.mapInArrow(_verified(k, threshold), "a long, b long")
+
+
+def oracle(k: int = 5, threshold: int = 80) -> str:
+    """DuckDB SQL for jaccard_components() over documents: it counts every shared shingle, so for small tables only."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+with recursive words as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(list_slice(w, i, i + {k - 1}), ' ')) end) as s from words),
+shingles as materialized (select doc_id, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as materialized (select a, b from shared join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * n >= {threshold} * (len(p.s) + len(q.s) - n)),
+both_ways as materialized (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as c from sets union select b, c from reach join both_ways on a = doc_id)
+select doc_id, len(s)::bigint as n_shingles, component_id from sets join (select doc_id, min(c) as component_id from reach group by doc_id) using (doc_id)
+"""

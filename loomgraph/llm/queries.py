@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import quality_rules, url_filter
+from loomgraph.llm import chat_format, jaccard_join, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,4 @@ QUERIES = {
         op6_line_dedup, op7_token_files, op8_bin_packing, op9_url_filter, op10_media_ts,
     )
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard_join.oracle(), "op5_chat_format": chat_format.oracle(), "op2_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.oracle()}

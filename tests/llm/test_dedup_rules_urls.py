@@ -87,6 +87,9 @@ def test_jaccard_chains_and_hot_groups(spark):
 def test_jaccard_query(spark, sf_dir):
     got = Counter(tuple(r)[:3] for r in queries.op1_jaccard_join(spark, sf_dir).collect())
     assert got == brute_components(documents(spark, sf_dir))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    assert got == Counter(con.execute(jaccard_join.oracle()).fetchall())
 
 
 def test_boundary_moves_with_cost():

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -179,4 +180,8 @@ def test_chat_hard_rows(spark):
 def test_chat_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     hard = "</s>[INST] ok [/INST]"
-    check_chats([*rows, (-7, 0, "user", hard), (-7, 1, "assistant", hard)], queries.op5_chat_format(spark, sf_dir).collect())
+    got = queries.op5_chat_format(spark, sf_dir).collect()
+    check_chats([*rows, (-7, 0, "user", hard), (-7, 1, "assistant", hard)], got)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(chat_format.oracle()).fetchall())
