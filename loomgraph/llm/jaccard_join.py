@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import connected_components, mix, save, shingle_sets
+from loomgraph.llm.shared import connected_components, forget, mix, save, shingle_sets
 
 MOST_LIGHT = 24  # sizes up to this one are weighed for enumeration
 LOCAL_LEAST = 4  # a chunk of a task reports shingles of at least so many of its sets
@@ -256,7 +256,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
     unordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
     pairs = save(unordered(lists.where(_bounded(threshold, "n", "hub.n", "pos", "hub.pos", light)), "sid", "hub.sid"), "pairs")
     tried = pairs
-    links = save(_verify(docs, sets, pairs, k, threshold).union(stars), "links")
+    scratch = [survey, counts, sets, lists, pairs]
+    links = save(_verify(docs, sets, pairs, k, threshold, scratch).union(stars), "links")
     roots = connected_components(links)
 
     # lists that still hold several components: more stars around each component's most central member, then all pairs
@@ -265,6 +266,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
         apart = lists.join(roots, lists["sid"] == roots["node"], "left").select("token", "sid", "n", "pos", "score", F.coalesce("root", "sid").alias("root"))
         mixed = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         apart = save(apart.join(mixed, "token", "left_semi").distinct(), "apart")
+        scratch.append(apart)
         if apart.isEmpty():
             break
         lists = apart.drop("root")  # components only grow, so the other lists are done
@@ -275,9 +277,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
         hubs = hubs.select("token", F.col("sid").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"))
         found = apart.join(hubs, "token").where("root <> top").where(_bounded(threshold, "n", "m", "pos", "at", light))
         fresh = save(unordered(found, "sid", "hub").join(tried, ["a", "b"], "left_anti"), "fresh")
-        if not last and fresh.isEmpty():
+        scratch.append(fresh)
+        if fresh.isEmpty():
             continue
-        more = save(_verify(docs, sets, fresh, k, threshold), "links")
+        more = save(_verify(docs, sets, fresh, k, threshold, scratch), "links")
         tried = tried.union(fresh)
         if not more.isEmpty():
             links = links.union(more)
@@ -287,14 +290,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "root").select("sid", "component_id")
     linked = members.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(members.where("n = 0").select("doc_id", "n", "doc_id"))
+    result = save(linked.union(members.where("n = 0").select("doc_id", "n", "doc_id")), "components")
+    for table in scratch:
+        forget(table)
+    return result
 
 
-def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataFrame:
+#: Up to so many wanted sets (16 bytes each) are broadcast to pick their texts without a shuffle; more are joined by key.
+MOST_BROADCAST = 250_000
+
+
+def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs of set ids whose texts link."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    ids = sets.join(wanted, "sid", "left_semi").select("sid", "doc_id", "copy.crc")
-    texts = save(docs.withColumn("crc", F.crc32("text")).join(ids, ["doc_id", "crc"]).groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    ids = save(sets.join(wanted, "sid", "left_semi").select("sid", "doc_id", "copy.crc"), "wanted")
+    few = ids.count() <= MOST_BROADCAST
+    found = docs.withColumn("crc", F.crc32("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "crc"])
+    texts = save(found.groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    scratch += [ids, texts]
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
