@@ -1,4 +1,4 @@
-"""Operators on small graphs: the cases of the reference's own tests, and edge cases of values, writes, RDF and files."""
+"""Operators on small graphs: plain cases and edge cases of values, writes, RDF and files."""
 
 import math
 
