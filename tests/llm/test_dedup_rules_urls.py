@@ -322,6 +322,18 @@ def test_pagerank(spark):
             assert got.get(h, (0, 0))[column] == pytest.approx(score[h], abs=1e-6)
 
 
+def test_url_verdicts_do_not_depend_on_other_hosts(spark):
+    """One link pattern alone and among two million pages that are allowed or blocked and have no links to it."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    pattern = [("http://bad.net/es/1", "")] + [(f"http://linker{i}.org/", link("bad.net")) for i in range(100)]
+    pattern += [("http://both.org/", link("bad.net")), ("http://site.com/", link("both.org", "other.org")), ("http://last.org/", link("linker7.org"))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pattern)], "page_id long, url string, html string")
+    rest = spark.range(2_000_000).selectExpr("id + 1000 as page_id", "concat('http://h', id % 1000, if(id % 5 > 0, '.net/fr/', '.com/')) as url", "'' as html")
+    want = ["block"] * 101 + ["allow", "allow", "block"]  # half of a good page's trust is more than both.org's part of the distrust
+    assert [r.verdict for r in url_filter.filter_urls(df).orderBy("page_id").collect()] == want
+    assert [r.verdict for r in url_filter.filter_urls(df.union(rest)).where("page_id < 1000").orderBy("page_id").collect()] == want
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage against plain Python on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
