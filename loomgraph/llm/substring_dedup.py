@@ -6,8 +6,8 @@ Of the others, runs of consecutive repeated units with at least `least_words` wo
 offsets in the original text (bytes of UTF-8); shorter runs, such as a common phrase, stay. Grouping aggregates before
 the shuffle and the join back to the units can be split, so one very common unit is no single task's work.
 
-Defined cases: null and empty texts have no units and stay as they are; units without a word are never repeated; rows
-that share doc_id and the crc32 of the text (doc) are one document and are cut alike; ties of doc_id go by that crc32,
+Defined cases: null and empty texts have no units and stay as they are; blank lines and lone punctuation belong to the
+unit before them and so never end a run; rows that share doc_id and the crc32 of the text (doc) are one document and are cut alike; ties of doc_id go by that crc32,
 and a null doc_id comes first. Extra columns are kept. An empty table gives an empty result.
 """
 
@@ -27,20 +27,23 @@ from loomgraph.llm.shared import save
 LEAST_WORDS = 20
 BREAKS = {"sentence": re.compile(rb"[.!?]+[ \t\r]+|[ \t\r]*\n\s*"), "line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n[ \t\r]*\n\s*")}
 _ENDS = b".,;:!?\"'()[]"
+_BLANK = _ENDS + b" \t\n\r\x0b\x0c"
 
 
 def units_of(raw: bytes, kind: str = "sentence") -> list[tuple[int, int]]:
-    """(start, end) of the units of a text; together they cover it."""
+    """(start, end) of the units of a text; together they cover it. What has no word belongs to the unit before it."""
     cuts = [0, *(m.end() for m in BREAKS[kind].finditer(raw))]
     if cuts[-1] != len(raw):
         cuts.append(len(raw))
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    kept = [cuts[0], *(a for a, b in parts[1:] if raw[a:b].strip(_BLANK)), cuts[-1]]
+    return list(zip(kept[:-1], kept[1:], strict=True))
 
 
 def normalised(unit: bytes) -> tuple[bytes, int]:
     """The normalised unit and its number of words."""
     words = unit.lower().split()
-    return b" ".join(words).strip(_ENDS), len(words)
+    return b" ".join(words).strip(_ENDS + b" "), sum(1 for w in words if w.strip(_ENDS))
 
 
 def _units(kind: str):

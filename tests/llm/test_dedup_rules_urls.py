@@ -249,6 +249,18 @@ def test_substring_dedup(spark, sf_dir):
     assert sorted(map(tuple, got.collect()), key=str) == brute_spans(documents(spark, sf_dir))
 
 
+def test_substring_dedup_across_blank_units(spark):
+    """Runs go on over CRLF ends, blank lines and lone punctuation, whatever the kind of unit; words are not made of punctuation."""
+    lines = [f"the shared line number {i} has eight words." for i in range(6)]
+    for kind, ends in (("sentence", ["\r\n", " \n", ".. \r\n\r\n", "\n"]), ("line", ["\n", "\n\n", "\n...\n \n"])):
+        rows = [(i, f"own start {i}{end}" + end.join(lines) + f"{end}own words {i}") for i, end in enumerate(ends)]
+        got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs_of(spark, rows), kind=kind).collect()}
+        assert got == {0: rows[0][1]} | {i: f"own start {i}{end}own words {i}" for i, end in enumerate(ends) if i}, kind
+    dots = [(1, "short.\n" + "...\n" * 30 + "one"), (2, "short.\n" + "...\n" * 30 + "two")]
+    assert substring_dedup.repeated_spans(docs_of(spark, dots)).count() == 0
+    assert substring_dedup.units_of(b"\n\nfirst here.\r\nsecond. ... \n\n") == [(0, 2), (2, 15), (15, 29)]
+
+
 def library():
     import sentencepiece
 
