@@ -17,14 +17,13 @@ Shingle order: any order makes the prefix bound exact. The one used puts shingle
 copies share a set id and are one row per task before anything is shuffled.
 
 Defined cases: null or wordless texts have the empty set, link with nothing and form their own component; repeated
-rows and copies share a component; a row whose doc_id is null joins the component of equal texts but never names one,
-and if no other row has its shingles it links with nothing and its component_id is null. Other columns are ignored.
+rows and copies share a component; a row whose doc_id is null joins components as any other but never names one, so
+where all ids are null component_id is null. Other columns are ignored.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from itertools import combinations
 from math import comb
 
@@ -80,7 +79,7 @@ def _survey(k: int):
                     if size >= CHUNK:
                         yield counted(held)
                         held, size = [], 0
-            crc = [zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1).cast(pa.large_binary())]
+            crc = [xxhash.xxh64_intdigest(x.as_buffer(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x.as_buffer(), 42) >> 63) if x.is_valid else 42 for x in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(blob, pa.binary())], schema=schema)
         if held:
             yield counted(held)
@@ -208,8 +207,11 @@ def _bounded(threshold: int, n: str, m: str, i: str, j: str, light: int):
     return F.expr(f"100 * least({n}, {m}) >= {threshold} * greatest({n}, {m}) and greatest({n}, {m}) > {light} and 1 + least({n} - 1 - {i}, {m} - 1 - {j}) >= {least}")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_rows: int = 1 << 18, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_rows: int = 1 << 18, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", with_roots: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    With with_roots also text_hash (xxhash64 of the text) and root, which names the component where ids are null (null for wordless texts).
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = save(docs.mapInArrow(_survey(k), "kind int, a long, b long, c long, n long, crc long, blob binary"), "survey")
@@ -228,7 +230,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
     hot = spark.sparkContext.broadcast((np.sort(keys), table["f"].to_numpy(np.int64)[np.argsort(keys)]))
 
     # sets: one row per distinct set; two hashes guard against sets that share an id by chance
-    sets = save(members.where("n > 0").groupBy("sid").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "crc"))).alias("copy"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blob").alias("blob"), (F.min("check") == F.max("check")).alias("same")), "sets")
+    sets = save(members.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "crc")).alias("copy"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blob").alias("blob"), (F.min("check") == F.max("check")).alias("same")), "sets")
     if sets.where("not same").limit(1).count():
         raise RuntimeError("two different sets share a 63-bit id")
 
@@ -288,9 +290,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
 
     named = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least_id, "root").select("sid", "component_id")
-    linked = members.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    result = save(linked.union(members.where("n = 0").select("doc_id", "n", "doc_id")), "components")
+    named = named.join(least_id, "root").select("sid", "component_id", "root")
+    linked = members.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("crc").alias("text_hash"), "root")
+    found = linked.union(members.where("n = 0").select("doc_id", "n", "doc_id", "crc", F.lit(None).cast("long")))
+    result = save(found if with_roots else found.drop("text_hash", "root"), "components")
     for table in scratch:
         forget(table)
     return result
@@ -303,9 +306,9 @@ MOST_BROADCAST = 250_000
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs of set ids whose texts link."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    ids = save(sets.join(wanted, "sid", "left_semi").select("sid", "doc_id", "copy.crc"), "wanted")
+    ids = save(sets.join(wanted, "sid", "left_semi").select("sid", F.col("copy.doc_id").alias("id"), F.col("copy.crc").alias("hash")), "wanted")
     few = ids.count() <= MOST_BROADCAST
-    found = docs.withColumn("crc", F.crc32("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "crc"])
+    found = docs.withColumn("crc", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, F.expr("doc_id <=> id and crc = hash"))
     texts = save(found.groupBy("sid").agg(F.first("text").alias("text")), "texts")
     scratch += [ids, texts]
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))

@@ -101,15 +101,15 @@ def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, l
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, rejected_by)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
-    features = save(with_counts(plain).select("doc_id", "stratum", *COUNTS, "n_lines"), "features")
+def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), then the columns `keys` of docs."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"), *keys)
+    features = save(with_counts(plain).select("doc_id", "stratum", *COUNTS, "n_lines", *keys), "features")
     cutoffs = choose_cutoffs(features, labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic"), risk, level)
     joined = features.alias("f").join(cutoffs.alias("c"), F.expr("f.stratum <=> c.stratum"), "left").select("f.*", "c.cutoffs")
     failing = F.filter(F.array(*[F.when(F.expr(signal) > F.element_at("cutoffs", name), name) for name, signal, _ in RULES]), lambda x: x.isNotNull())
     verdict = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", F.when(F.col("n_words") > 0, failing).otherwise(F.array().cast("array<string>")))
-    return verdict.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+    return verdict.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), *keys)
 
 
 def oracle() -> str:

@@ -346,6 +346,20 @@ def test_url_verdicts_do_not_depend_on_other_hosts(spark):
     assert [r.verdict for r in url_filter.filter_urls(df.union(rest)).where("page_id < 1000").orderBy("page_id").collect()] == want
 
 
+def test_pipeline_knows_rows_by_id_and_text(spark, sf_dir):
+    """Repeated rows, null ids and one id with two texts in the stages that take rows away."""
+    words = lambda tag: " ".join(f"{tag}word{i}" for i in range(40))
+    near = words("b") + " end"
+    rows = [(1, words("a")), (1, words("a")), (None, words("a")), (2, words("b")), (3, near), (3, words("c")), (None, words("d")), (None, words("d") + " end"), (None, words("e")), (4, "short"), (4, words("f")), (None, "short"), (None, None)]
+    docs = docs_of(spark, rows)
+    good = Counter((d, t) for d, t in rows if t and t != "short")
+    after = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert after.columns == docs.columns and Counter((r.doc_id, r.text) for r in after.collect()) == good
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, list(good.elements())), sf_dir).collect())
+    d = next(k for k in kept if k[1] and k[1].startswith("dword"))
+    assert kept == Counter([(1, words("a")), (2, words("b")), (3, words("c")), d, (None, words("e")), (4, words("f"))])
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage against plain Python on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
