@@ -3,10 +3,13 @@
 Documents are encoded once, in tasks; only documents longer than a sequence are cut. Pieces as long as a sequence fill
 one each. For the others only the number of pieces of each length matters to a packing, so the problem that is solved
 has at most capacity - 1 numbers however many documents there are. complete_bins() solves it: best-fit decreasing gives
-the first incumbent; if that is above the lower bound, a branch-and-bound fills the bin of the largest piece left with
+the first incumbent. If that is above the lower bound, a branch-and-bound fills the bin of the largest piece left with
 undominated fillings (each applied as often as the counts allow), prunes what wastes more than a better solution could,
-and keeps better solutions as incumbents. The search visits at most `most_nodes` nodes; the incumbent is complete at
-any time, so no document is left out. Pieces then find their place by their rank among the pieces of their length.
+and keeps better solutions as incumbents. After it the least full bins, `most_bins` of them or a few times as many, are
+packed anew by the same search, as long as that saves a bin. A search visits at most `most_nodes` nodes, weighs at most
+`width` fillings of a bin and looks for them in a walk of `tries` steps, so the driver's work has a bound that does not
+grow with the documents. The incumbent is complete at any time, so
+no document is left out. Pieces then find their place by their rank among the pieces of their length.
 
 Defined cases: a null or empty text is one piece, the end id. Repeated rows are packed each. A null doc_id stays null.
 An empty table gives no rows. Other columns are ignored.
@@ -23,9 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import save
-from loomgraph.llm.tokens import SegmentEncoder, slices
+from loomgraph.llm.shared import save, text_slices
+from loomgraph.llm.tokens import SegmentEncoder
 
+SLICE = 1 << 22  # bytes of texts that are encoded together
 Pattern = tuple[int, tuple[int, ...]]  # how many bins are filled alike, and the lengths in them
 
 
@@ -127,11 +131,8 @@ def undominated_fillings(counts: dict[int, int], room: int, waste: int, width: i
     return kept[:width]
 
 
-def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 1_000, width: int = 4) -> list[Pattern]:
-    """A packing of counts[length] pieces of each length as patterns; the fewest bins found (see the module's text)."""
-    counts = {n: c for n, c in counts.items() if c}
-    if any(not 0 < n <= capacity for n in counts):
-        raise ValueError("a piece does not fit")
+def _search(counts: dict[int, int], capacity: int, most_nodes: int, width: int) -> list[Pattern]:
+    """Branch-and-bound by bin completion from best-fit decreasing as the first incumbent."""
     incumbent = best_fit_decreasing(counts, capacity)
     least = lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
@@ -143,9 +144,10 @@ def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 1_000
         allowed = (bins(incumbent) - 1) * capacity - total - wasted
         if allowed < 0:
             continue
-        rest = best_fit_decreasing(left, capacity)
-        if bins(made) + bins(rest) < bins(incumbent):
-            incumbent = made + rest
+        if len(left) <= 64 or nodes % 32 == 0 or nodes == most_nodes:  # large histograms: not at every node
+            rest = best_fit_decreasing(left, capacity)
+            if bins(made) + bins(rest) < bins(incumbent):
+                incumbent = made + rest
         if not left or bins(made) + -(-sum(n * c for n, c in left.items()) // capacity) >= bins(incumbent):
             continue
         largest = max(left)
@@ -164,6 +166,41 @@ def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 1_000
     return incumbent
 
 
+def _least_full(patterns: list[Pattern], capacity: int, most: int) -> tuple[list[Pattern], list[Pattern]]:
+    """(about `most` bins: those with the most waste, else of the most different patterns; the others)."""
+    taken, others, room = [], [], most
+    for times, items in sorted(patterns, key=lambda p: (sum(p[1]) - capacity, p[1])):
+        take = min(times, room, times if sum(items) < capacity else 1)
+        room -= take
+        taken += [(take, items)] if take else []
+        others += [(times - take, items)] if times > take else []
+    return taken, others
+
+
+def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 300, width: int = 4, most_bins: int = 48) -> list[Pattern]:
+    """A packing of counts[length] pieces of each length as patterns; the fewest bins found (see the module's text)."""
+    counts = {n: c for n, c in counts.items() if c}
+    if any(not 0 < n <= capacity for n in counts):
+        raise ValueError("a piece does not fit")
+    best = _search(counts, capacity, most_nodes, width)
+    least = lower_bound(counts, capacity)
+    size = most_bins
+    while bins(best) > least:
+        part, others = _least_full(best, capacity, size)
+        held: Counter = Counter()
+        for times, items in part:
+            for n in items:
+                held[n] += times
+        better = _search(dict(held), capacity, most_nodes, width)
+        if bins(better) < bins(part):
+            best = others + better
+        elif others and size < 4 * most_bins:
+            size *= 2
+        else:
+            break
+    return best
+
+
 class Places:
     """Where the r-th piece of each length goes: sequence number and offset."""
 
@@ -201,16 +238,16 @@ def _pieces(tokenizer: str, end: int, capacity: int):
         ranks: Counter = Counter()
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            rows = []
-            for at, texts in slices(batch.column(1).to_pylist()):
-                for i, raw in enumerate(encoder.encode(texts, end)):
-                    for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
-                        part_ids = raw[4 * start : 4 * (start + capacity)]
-                        n = len(part_ids) // 4
-                        rows.append((ids_of[at + i], piece, start, n, zlib.crc32(part_ids), part, ranks[n]))
+            for at, data, bounds in text_slices(batch.column(1), SLICE):
+                ids, offsets = encoder.encode(data, bounds, end)
+                rows = []
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    for piece, start in enumerate(range(a, b, capacity)):
+                        n = min(capacity, b - start)
+                        rows.append((ids_of[at + i], piece, start - a, n, zlib.crc32(ids[start : start + n]), part, ranks[n]))
                         ranks[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
     return run
 
@@ -238,6 +275,6 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: i
     places = spark.sparkContext.broadcast(Places(complete_bins(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rest.join(bases, ["part", "length"]).select(*names, (F.col("base") + F.col("rank")).alias("rank"))
+    ranked = rest.join(bases.hint("merge"), ["part", "length"]).select(*names, (F.col("base") + F.col("rank")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.mapInArrow(_placed(places, names), schema).union(full)

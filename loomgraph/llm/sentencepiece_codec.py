@@ -4,7 +4,7 @@ A text is read from left to right. For each position the encoder keeps the piece
 is a backpointer; only the last `longest piece` positions can be reached again, so the window is bounded. As soon as the
 surviving backpointer paths run through one boundary, the ids up to it are committed and forgotten. A boundary between
 two characters that no piece holds side by side is always such a point, so segments between these points are encoded on
-their own, and the ids of a segment are remembered.
+their own; the ids of a segment up to the next space are remembered in a memo of a bounded size.
 
 Two kinds of model. In a unigram model the best path has the greatest sum of scores. In a BPE model, whose scores rank
 merges, a path is good when every two pieces next to each other on it are what merging their texts alone gives; exactly
@@ -15,15 +15,13 @@ Texts are handled as the models with identity normalisation want it: spaces beco
 character without a piece becomes its UTF-8 byte pieces.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are coded each; extra
-columns are kept; an empty table gives an empty result.
+columns are kept, but for those named as a column that is added, which is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.tokens import tokenizer_path
+from loomgraph.llm.shared import text_slices
+from loomgraph.llm.tokens import SegmentMemo, tokenizer_path
 
 SPACE = "▁"
-_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
-_MOST_KNOWN, _MOST_FITTING = 1 << 20, 1 << 14
+SLICE = 1 << 21  # bytes of texts that are encoded together
+_MOST_FITTING = 1 << 18
 _LOADED: dict = {}
 
 
@@ -50,7 +49,8 @@ class Pieces:
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.spaced = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs)  # a piece may span a space
         self.bytes_of = {i: p.encode() for p, i in pieces.items()} | {i: bytes([b]) for i, b in self.byte_of.items()} | {unknown: "⁇".encode()}
-        self.known: dict[str, bytes] = {}  # a word after a space -> its ids
+        self.memo = SegmentMemo()
+        self.weighed = 0  # entries of fitting
         self.fitting: dict[str, dict[str, bool]] = {}  # left piece -> right piece -> whether they stay apart
         self.made: dict[str, tuple[str, str] | None] = {}
         self.tree: dict = {}  # character -> [tree of what follows, the piece that ends here or None]
@@ -118,18 +118,19 @@ class Pieces:
         """The ids of a segment: a window of backpointers, committed where the surviving paths meet."""
         ids: list[int] = []
         size, longest, bpe, fitting = len(text), self.longest, self.bpe, self.fitting
-        path: list[str] = [""] * (size + 1)  # the piece that ends at each position; only the window is read
-        best = [0.0] + [float("-inf")] * size
-        done = 0
+        base = 0  # path and best are windows: entry i is for position base + i
+        path: list[str] = [""] * (min(size, longest) + 1)  # the piece that ends at each position
+        best = [0.0] + [float("-inf")] * (len(path) - 1)
         for start in range(size):
-            left = path[start]
+            if start + longest > base + len(path) - 1 and base + len(path) <= size:
+                path.append("")
+                best.append(float("-inf"))
+            left = path[start - base]
             if start and not left:
                 continue
-            if (row := fitting.get(left)) is None:
-                if len(fitting) > _MOST_FITTING:
-                    fitting.clear()
+            if bpe and (row := fitting.get(left)) is None:
                 row = fitting[left] = {}
-            below, end = self.tree, start
+            below, end = self.tree, start - base
             for character in text[start : start + longest]:
                 end += 1
                 if (node := below.get(character)) is None:
@@ -138,36 +139,41 @@ class Pieces:
                 if piece is None:
                     continue
                 if not bpe:
-                    score = best[start] + self.scores[piece]
+                    score = best[start - base] + self.scores[piece]
                     if score > best[end]:
                         best[end], path[end] = score, piece
                 elif not path[end]:
                     if (fit := row.get(piece)) is None:
                         fit = row[piece] = self.fits(left, piece)
+                        self.weighed += 1
                     if fit:
                         path[end] = piece
-            if not path[start + 1] and text[start] not in self.ids:  # a character without a piece
-                path[start + 1], best[start + 1] = text[start], best[start] - 1e6
-            if start - done >= 2 * longest:
-                done = self._commit(path, done, start, ids)
-        self._emit(path, done, size, ids)
+            after = start + 1 - base
+            if not path[after] and text[start] not in self.ids:  # a character without a piece
+                path[after], best[after] = text[start], best[start - base] - 1e6
+            if after > 2 * longest and (done := self._meeting(path, after)):
+                self._emit(path, done, ids)
+                base += done
+                del path[:done], best[:done]  # path[0] stays: what follows must still fit the last committed piece
+        self._emit(path, size - base, ids)
+        if self.weighed > _MOST_FITTING:
+            fitting.clear()
+            self.weighed = 0
         return ids
 
-    def _commit(self, path: list[str], done: int, start: int, ids: list[int]) -> int:
-        """Emits up to the boundary where the paths to all positions after start meet, if there is one."""
-        reach = {p for p in range(start + 1, min(start + self.longest, len(path) - 1) + 1) if path[p]}
+    def _meeting(self, path: list[str], after: int) -> int:
+        """The place in the window where the paths to all positions from `after` on meet; 0 if there is none yet."""
+        reach = {p for p in range(after, min(after + self.longest, len(path))) if path[p]}
         while len(reach) > 1:
             far = max(reach)
             reach.remove(far)
             reach.add(far - len(path[far]))
-        at = reach.pop() if reach else done
-        if at > done:
-            self._emit(path, done, at, ids)
-        return max(at, done)  # path[at] stays: what follows must still fit the last committed piece
+        return reach.pop() if reach else 0
 
-    def _emit(self, path: list[str], start: int, end: int, ids: list[int]) -> None:
+    def _emit(self, path: list[str], end: int, ids: list[int]) -> None:
+        """Adds the ids of the path from the window's start to end."""
         found = []
-        while end > start:
+        while end > 0:
             found.append(path[end])
             end -= len(path[end])
         for piece in reversed(found):
@@ -178,40 +184,46 @@ class Pieces:
             else:
                 ids.append(self.unknown)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        text = SPACE + text.replace(" ", SPACE)
+    def _learn(self, keys: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of segments in one list and their numbers; a segment is cut further between characters that no piece holds side by side."""
+        out: list[int] = []
+        sizes, pairs = [], self.pairs
+        for key in keys:
+            before, start, text = len(out), 0, key.replace(" ", SPACE)
+            for i in range(1, len(text)):
+                if text[i - 1 : i + 1] not in pairs:
+                    out += self.segment(text[start:i])
+                    start = i
+            out += self.segment(text[start:])
+            sizes.append(len(out) - before)
+        return out, sizes
+
+    def encode_texts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts that lie one after another in data (UTF-8 bytes) at bounds."""
+        data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        if (data[:-1][data[1:] == 0x96] == 0xE2).any():  # a text may hold the sign for spaces itself, which then is one
+            parts = [data[a:b].tobytes().replace(SPACE.encode(), b" ") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            data, bounds = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        texts = np.flatnonzero(np.diff(bounds))
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+        data = np.insert(data, bounds[texts], 32)  # the space in front of each text
+        firsts = bounds[texts] + np.arange(len(texts))
+        cut = data == 32
         if self.spaced:
-            return self._encode_part(text)
-        if len(self.known) > _MOST_KNOWN:  # words met early are the frequent ones
-            self.known = dict(islice(self.known.items(), _MOST_KNOWN // 2))
-        if SPACE * 2 in text:  # runs of spaces have pieces of their own
-            return b"".join([self._word(p[1:]) if p[1:2] != SPACE else self._encode_part(p) for p in _RUNS.findall(text)])
-        words = text.split(SPACE)[1:]
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self._word(w) for w in words]
-        return b"".join(found)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self._encode_part(SPACE + word)
-            if len(word) <= 64:
-                self.known[word] = ids
-        return ids
+            cut[:] = False
+        else:  # runs of spaces have pieces of their own
+            cut[1:] &= data[:-1] != 32
+        cut[firsts] = True
+        starts = np.flatnonzero(cut)
+        ids, made = self.memo.encode(data, np.append(starts, len(data)), self._learn)
+        ends = np.concatenate(([0], np.cumsum(made)))
+        return ids, ends[np.searchsorted(starts, np.append(firsts, len(data)))][np.searchsorted(texts, np.arange(len(bounds)))]
 
-    def _encode_part(self, text: str) -> bytes:
-        """Segments between characters that no piece holds side by side are encoded on their own."""
-        ids, start, pairs = [], 0, self.pairs
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                ids += self.segment(text[start:i])
-                start = i
-        ids += self.segment(text[start:])
-        return np.array(ids, "<i4").tobytes()
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one text as little-endian 32-bit integers."""
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return self.encode_texts(raw, np.array([0, len(raw)]))[0].tobytes()
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -219,45 +231,56 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text") -> DataFrame:
-    """docs with a column ids (array<int>)."""
-    names = docs.columns
-    at = names.index(text_col)
+def _encoded(names: list[str], model: str, text_col: str):
+    """Task: batches of the columns `names` with ids behind them."""
 
     def run(batches):
         pieces = Pieces.of(model)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                ids = [pieces.encode(t) for t in part.column(at).to_pylist()]
-                bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=[*names, "ids"])
+            for first, data, bounds in text_slices(batch.column(text_col), SLICE):
+                ids, offsets = pieces.encode_texts(data, bounds)
+                part = batch.slice(first, len(bounds) - 1)
+                made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return run
 
 
-def decode_pieces(coded: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:
-    """coded with columns decoded (string) and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    names = coded.columns
-    at = names.index(ids_col)
+def _decoded(names: list[str], model: str, ids_col: str):
+    """Task: batches of the columns `names` with decoded and ids_crc32 behind them."""
 
     def run(batches):
         pieces = Pieces.of(model)
         for batch in batches:
-            column = batch.column(at)
             texts, crcs = [], []
-            for ids in column:
+            for ids in batch.column(ids_col):
                 values = np.zeros(0, np.int32) if not ids.is_valid else ids.values.to_numpy()
                 texts.append(pieces.decode(values))
-                crcs.append(zlib.crc32(values.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(crcs, pa.int64())], names=[*names, "decoded", "ids_crc32"])
+                crcs.append(zlib.crc32(values.astype("<u4", copy=False)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(crcs, pa.int64())], names=[*names, "decoded", "ids_crc32"])
+
+    return run
+
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType()), T.StructField("ids_crc32", T.LongType())]))
+def _schema(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    return T.StructType([*(df.schema[n] for n in names), *T.StructType.fromDDL(more).fields])
+
+
+def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text") -> DataFrame:
+    """docs with a column ids (array<int>)."""
+    names = [n for n in docs.columns if n != "ids"]
+    return docs.mapInArrow(_encoded(names, model, text_col), _schema(docs, names, "ids array<int>"))
+
+
+def decode_pieces(coded: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:
+    """coded with columns decoded (string) and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+    names = [n for n in coded.columns if n not in ("decoded", "ids_crc32")]
+    return coded.mapInArrow(_decoded(names, model, ids_col), _schema(coded, names, "decoded string, ids_crc32 long"))
 
 
 def pieces_digest(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Rows (doc_id, n_pieces, ids_crc32, decoded_sha256, same): every text encoded and its ids decoded again."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    read = decode_pieces(encode_pieces(plain, model), model)
+    there, back = _encoded(["doc_id", "text"], model, "text"), _decoded(["doc_id", "text", "ids"], model, "ids")
+    read = plain.mapInArrow(lambda batches: back(there(batches)), "doc_id long, text string, ids array<int>, decoded string, ids_crc32 long")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))

@@ -51,6 +51,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,6 +73,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def byte_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each of the byte strings data[bounds[i] : bounds[i + 1]]."""
+    size, starts, lengths = len(data), bounds[:-1], np.diff(bounds).astype(np.uint64)
+    out = []
+    for table, base, lane in ((_BYTE, _BASE, _LANE[63]), (_OTHER_BYTE, _INVERSE, _LANE[62])):
+        running = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(table[data] * _powers(base, size), dtype=np.uint64, out=running[1:])
+        out.append(mix((running[bounds[1:]] - running[starts]) * _powers(pow(base, -1, 2**64), size + 1)[starts] + lengths * lane))
+    return out[0], out[1]
+
+
 def shingle_hashes(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the k-word shingles of texts that lie one after another in data (UTF-8 bytes).
 

@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import shared_folder, shuffle_partitions
-from loomgraph.llm.tokens import SegmentEncoder, slices
+from loomgraph.llm.shared import shared_folder, shuffle_partitions, text_slices
+from loomgraph.llm.tokens import SegmentEncoder
 
-BLOCK_IDS = 1 << 21
+BLOCK_IDS, SLICE = 1 << 21, 1 << 22
 _LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], dtype=np.uint8)
 _FIRST = np.arange(4, dtype=np.uint8)
 BLOCK = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, ranked binary, control binary, data binary"
@@ -61,7 +61,7 @@ def _blocks(tokenizer: str, end: int, block_ids: int):
         docs, lengths, held, size, block, first = [], [], [], 0, 0, 0
 
         def block_row():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             counts = np.bincount(ids)
             ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
             ranks = np.zeros(len(counts), np.uint32)
@@ -73,16 +73,18 @@ def _blocks(tokenizer: str, end: int, block_ids: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at, texts in slices(batch.column(1).to_pylist()):
-                for i, raw in enumerate(encoder.encode(texts, end)):
-                    n = len(raw) // 4
+            for at, data, bounds in text_slices(batch.column(1), SLICE):
+                ids, offsets = encoder.encode(data, bounds, end)
+                offsets = offsets.tolist()
+                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    n = b - a
                     if size and size + n > block_ids:
                         yield block_row()
                         block, first = block + 1, first + size
                         docs, lengths, held, size = [], [], [], 0
                     docs.append(names[at + i])
                     lengths.append(n)
-                    held.append(raw)
+                    held.append(ids[a:b])
                     size += n
         if docs:
             yield block_row()

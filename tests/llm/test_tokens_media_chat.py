@@ -8,10 +8,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bin_packing, chat_format, media_ts, queries, token_files
-from loomgraph.llm.tokens import SegmentEncoder, tokenizer_path
+from loomgraph.llm.shared import text_slices
+from loomgraph.llm.tokens import SegmentEncoder, SegmentMemo, tokenizer_path
 
 HARD = [
     (3, None), (1, ""), (2, "a  b\n \nc"), (2, "a  b\n \nc"), (None, "<|endoftext|> x"), (9, "word " * 9000), (8, "one\ntwo. Three, é́ 漢"), (8, "tie"), (7, "   "),
@@ -32,10 +34,18 @@ def encoded(name, text, end):
 def test_segments_encode_as_whole_texts(name):
     rng = random.Random(5)
     parts = [" ", " ", "  ", "\n", "\t", "a", "Word", "é", "É", "12", "!", ".", ",", "́", "漢", "'s", "<|endoftext|>", "Σ", "\x1c", "\r", "\x01", "İ", "ª"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    parts += [" ", "\u3000", "\u2028", "\x85", "...", "don't", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(9000)]
     encoder = SegmentEncoder(tokenizer_path(name))
-    for text, raw in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    encoder.memo = SegmentMemo(500, 2000)  # it has to forget again and again
+    for first, data, bounds in text_slices(pa.array(texts), 1 << 12):
+        ids, offsets = encoder.encode(data, bounds)
+        ended, more = encoder.encode(data, bounds, 7)
+        assert len(encoder.memo.keys) <= 500 and len(encoder.memo.ids) <= 2000
+        for i in range(len(bounds) - 1):
+            want = encoder.tokenizer.encode(texts[first + i], add_special_tokens=False).ids
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want, repr(texts[first + i])
+            assert ended[more[i] : more[i + 1]].tolist() == [*want, 7]
 
 
 def test_variable_length_ids_round_trip():
@@ -123,6 +133,17 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert bin_packing.bins(patterns) == best[0]
 
 
+def test_search_improves_on_best_fit_decreasing():
+    """Pieces of a quarter to a half of a bin, where best fit pairs what should go in threes; many pieces share lengths or none do."""
+    rng = random.Random(1)
+    counts = Counter(rng.randint(1100, 2100) for _ in range(300))
+    packed = bin_packing.complete_bins(dict(counts), 4096)
+    assert bin_packing.bins(packed) < bin_packing.bins(bin_packing.best_fit_decreasing(dict(counts), 4096))
+    assert sum((Counter({n: t * items.count(n) for n in items}) for t, items in packed), Counter()) == counts
+    many = {45: 3000, 40: 3000, 35: 3000, 33: 3000, 30: 3000, 27: 3000}
+    assert bin_packing.bins(bin_packing.complete_bins(many, 100)) < bin_packing.bins(bin_packing.best_fit_decreasing(many, 100))
+
+
 def test_transport_stream_round_trip():
     rng = random.Random(2)
     for n in [0, 1, 192, 12287, 12288, 12289, 100_000, *(rng.randint(0, 30_000) for _ in range(20))]:
