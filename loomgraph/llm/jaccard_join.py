@@ -7,14 +7,18 @@ need(|A|, |B|) = ceil(threshold * (|A| + |B|) / (100 + threshold)) shingles.
   (n, m) with n, m <= x; two sets link exactly when they share such a subset, so groups of equal subsets are linked as
   stars and nothing has to be verified.
 * Heavy side: every larger set (and each light set that a larger one could reach) puts its least frequent
-  n - ceil(threshold * n / 100) + 1 shingles into inverted lists. Each list is scanned against its most central member
-  (a star, linear in the list); sets that components still hold apart are then compared pair by pair. Position and
-  size bounds cut pairs, and every pair that is left is verified on the whole texts.
-* The boundary x is the size where enumeration starts to cost more than the scans (boundary()).
+  n - ceil(threshold * n / 100) + 1 shingles into inverted lists. Each list is scanned as a star around its most central
+  member, which is then done in that list, and lists that still hold several components again around another one. Then
+  what is left is scanned once: of every pair of members of different components that the size and position bounds
+  allow, the smaller one is looked up by size class. So pairs inside a component are never made, and a list with one
+  large component costs its length times the rest; bitmaps of the sets, whose distance is at most that of the sets,
+  leave few pairs that don't link. Every pair is verified on whole texts.
+* The boundary x is the size where enumeration starts to cost more than the scans with their verification (boundary()).
 
 Shingle order: any order makes the prefix bound exact. The one used puts shingles of a table of the at most
-`hot_rows` most frequent ones (a proven size, so it is broadcast) last by frequency, the rest first by hash. Exact
-copies share a set id and are one row per task before anything is shuffled.
+`hot_rows` most frequent ones (a proven size, so it is broadcast) last by frequency, the rest first by hash. Lists of the
+shingles in that table are dealt out over `SALTS` tasks when lists are gathered; any other shingle is rarer than those.
+Exact copies share a set id and are one row per task before anything is shuffled.
 
 Defined cases: null or wordless texts have the empty set, link with nothing and form their own component; repeated
 rows and copies share a component; a row whose doc_id is null joins components as any other but never names one, so
@@ -38,6 +42,10 @@ from loomgraph.llm.shared import connected_components, forget, mix, save, shingl
 MOST_LIGHT = 24  # sizes up to this one are weighed for enumeration
 LOCAL_LEAST = 4  # a chunk of a task reports shingles of at least so many of its sets
 CHUNK = 4_000_000  # shingles counted at a time in a task
+MOST_SEEN = 1 << 20  # set ids that a task remembers so as to report copies once
+SALTS = 64  # tasks for a frequent shingle's list
+BITS = 2048  # of a set's bitmap
+VERIFYING = 16  # what verifying a pair costs, in rows of an inverted list
 
 
 def need(n: int, m: int, threshold: int):
@@ -73,6 +81,8 @@ def _survey(k: int):
                 n.append(len(tokens))
                 blob.append(raw if 0 < len(tokens) <= MOST_LIGHT else None)
                 if len(tokens) and sid[-1] not in seen:
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
                     seen.add(sid[-1])
                     held.append(tokens)
                     size += len(tokens)
@@ -103,12 +113,12 @@ def _prefix(n: int, threshold: int) -> int:
 
 
 def _postings(k: int, threshold: int, light: int, hot):
-    """Task: (token, sid, n, pos, score) for the prefixes of heavy sets, once for each set id of the task."""
+    """Task: (token, salt, sid, n, pos, score) for the prefixes of heavy sets, once for each set id of the task."""
 
     def run(batches):
         seen = set()
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for _, tokens in shingle_sets(batch.column(0), k):
                 n = len(tokens)
                 if not n or 100 * n // threshold <= light:
@@ -116,30 +126,34 @@ def _postings(k: int, threshold: int, light: int, hot):
                 sid = (xxhash.xxh3_128_intdigest(tokens.tobytes()) >> 65) - (1 << 62)
                 if sid in seen:
                     continue
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
                 seen.add(sid)
                 tokens, known = _ordered(tokens, hot.value)
                 size = _prefix(n, threshold)
                 out[0].append(tokens[:size].view(np.int64))
-                out[1].append(np.full(size, sid, np.int64))
-                out[2].append(np.full(size, n, np.int32))
-                out[3].append(np.arange(size, dtype=np.int32))
-                out[4].append(np.full(size, min(int(known.mean() * 16), 2**31 - 1), np.int32))
+                out[1].append(np.where(known[:size] > 0, sid % SALTS, -1).astype(np.int32))
+                out[2].append(np.full(size, sid, np.int64))
+                out[3].append(np.full(size, n, np.int32))
+                out[4].append(np.arange(size, dtype=np.int32))
+                out[5].append(np.full(size, min(int(known.mean() * 16), 2**31 - 1), np.int32))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "sid", "n", "pos", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "salt", "sid", "n", "pos", "score"])
 
     return run
 
 
 def _scan_costs(threshold: int, hot):
-    """Task: for each light set, its size and the length of the inverted lists that it would scan."""
+    """Task: for each light set, its size and the cost of its rows in inverted lists and of verifying it where others share them."""
 
     def run(batches):
         for batch in batches:
             n, cost = [], []
             for raw in batch.column(0).to_pylist():
                 tokens, known = _ordered(np.frombuffer(raw, np.uint64), hot.value)
+                size = _prefix(len(tokens), threshold)
                 n.append(len(tokens))
-                cost.append(int((1 + known[: _prefix(len(tokens), threshold)]).sum()))
+                cost.append(size + VERIFYING * bool((known[:size] > 0).any()))
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(cost, pa.int64())], names=["n", "cost"])
 
     return run
@@ -207,10 +221,89 @@ def _bounded(threshold: int, n: str, m: str, i: str, j: str, light: int):
     return F.expr(f"100 * least({n}, {m}) >= {threshold} * greatest({n}, {m}) and greatest({n}, {m}) > {light} and 1 + least({n} - 1 - {i}, {m} - 1 - {j}) >= {least}")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_rows: int = 1 << 18, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", with_roots: bool = False) -> DataFrame:
+def _with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """df with the component of its sid, which is sid itself where no link names it."""
+    if roots is None:
+        return df.withColumn("root", F.col("sid"))
+    return df.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+
+
+def _joined_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Rows (node, root) after links (a, b) join components: only the components that new links name are looked at."""
+    if roots is None:
+        return connected_components(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = _with_roots(ends.withColumnRenamed(end, "sid"), roots).drop("sid").withColumnRenamed("root", end)
+    up = save(connected_components(ends).select(F.col("node").alias("was"), F.col("root").alias("top")), "roots")
+    moved = roots.join(up, roots["root"] == up["was"], "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = up.join(roots, up["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("top").alias("root"))
+    return save(moved.union(fresh), "roots")
+
+
+def _first_stars(postings: DataFrame) -> DataFrame:
+    """The rows of lists with two or more sets, each with its list's most central member (hub) and number of sets.
+
+    A frequent shingle's list is dealt out, so here it counts as several, each with a hub of its own.
+    """
+    whole = Window.partitionBy("token", "salt")
+    once = postings.withColumn("before", F.lag("sid").over(whole.orderBy("sid"))).where("before is null or before <> sid")
+    counted = once.withColumn("sets", F.count("*").over(whole)).where("salt >= 0 or sets > 1")
+    return counted.withColumn("hub", F.max(F.struct("score", "sid", "n", "pos")).over(whole)).select("token", "salt", "sid", "n", "pos", "score", "hub", "sets")
+
+
+def _star_pairs(lists: DataFrame, threshold: int, light: int, turn: int) -> DataFrame:
+    """Rows (token, sid, hub, and whether to compare them) of each list around its most central member or, in
+    even turns, that of a component that differs from list to list."""
+    order = F.struct("score", "sid") if turn % 2 else F.struct(F.xxhash64("root", "token"), "score", "sid")
+    hubs = lists.groupBy("token").agg(F.max_by(F.struct("sid", "n", "pos", "root"), order).alias("h"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    hubs = hubs.select("token", F.col("h.sid").alias("b"), F.col("h.n").alias("m"), F.col("h.pos").alias("at"), F.col("h.root").alias("top"))
+    return lists.join(hubs, "token").withColumn("meet", F.expr("root <> top") & _bounded(threshold, "n", "m", "pos", "at", light))
+
+
+def _bitmaps(k: int):
+    """Task: (sid, bits) from (sid, text): for each of BITS classes of shingles, whether the set has an odd number of them."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.packbits(np.bincount((mix(tokens) % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64) for _, tokens in shingle_sets(batch.column(1), k)]
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["sid", "bits"])
+
+    return run
+
+
+def _rest_pairs(lists: DataFrame, bitmaps: DataFrame, threshold: int, light: int) -> DataFrame:
+    """Pairs (a, b) of members of one list, but of different components, that the bounds allow; b is the smaller set.
+
+    In a pair the smaller set has the shingle among its first n - need(n, n) + 1, and its size class is the larger one's
+    or the one below. Members of a list's largest component are paired with the others only. Two sets differ in at least
+    as many shingles as their bitmaps do in bits, which leaves few pairs that don't link.
+    """
+    step = f"cast(floor(ln(n) / ln({max(100 / threshold, 1.05)!r})) as int)"
+    rows = lists.join(bitmaps, "sid").withColumn("class", F.expr(step)).withColumn("main", F.expr("root = most"))
+    large = rows.select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"), F.col("bits").alias("marks"), "main", "class")
+    small = rows.where(f"n - pos >= ceil({2 * threshold} * n / {100 + threshold}.0D)")
+    small = small.select("token", F.col("sid").alias("b"), "n", "pos", "root", "bits", F.col("main").alias("is_main"), F.explode(F.array(F.col("class"), F.col("class") + 1, F.col("class") + 2)).alias("class"))
+    differ = " + ".join(f"bit_count(bits[{i}] ^ marks[{i}])" for i in range(BITS // 64))
+    close = F.expr(f"{differ} <= n + m - 2 * ceil({threshold} * (n + m) / {100 + threshold}.0D)")
+    found = lambda x, y: x.join(y, ["token", "class"]).where(F.expr("root <> top and (m > n or (m = n and a > b))") & _bounded(threshold, "n", "m", "pos", "at", light) & close).select("a", "b")
+    return found(small.where("not is_main"), large).union(found(small.where("is_main"), large.where("not main"))).distinct()
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with the largest one (most)."""
+    sizes = lists.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
+    return lists.join(sizes.agg(F.max_by("root", "c").alias("most"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "token")
+
+
+def jaccard_components(
+    docs: DataFrame, k: int = 5, threshold: int = 80, hot_rows: int = 1 << 18, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", with_roots: bool = False
+) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     With with_roots also text_hash (xxhash64 of the text) and root, which names the component where ids are null (null for wordless texts).
+    star_rounds changes what is scanned first, never the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -237,58 +330,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
     small = sets.where("blob is not null")
     stats = small.select("blob").mapInArrow(_scan_costs(threshold, hot), "n long, cost long").groupBy("n").agg(F.count("*").alias("sets"), F.sum("cost").alias("cost"))
     light = boundary([tuple(r) for r in stats.collect()], threshold)  # at most MOST_LIGHT rows
+    scratch = [survey, counts, sets]
 
     # light side
-    by_key = Window.partitionBy("key", "low").orderBy("n", "sid")
-    stars = (
-        small.where(F.col("n") <= light).select("sid", "blob").mapInArrow(_subsets(threshold, light), "key long, low int, n int, sid long")
-        .withColumn("hub", F.first(F.struct("n", "sid")).over(by_key))
-        .where("hub.n = low and hub.sid <> sid").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
-    )
-
-    # heavy side: inverted lists with two or more sets, each with its most central member
-    whole = Window.partitionBy("token")
-    lists = save(
-        docs.select("text").mapInArrow(_postings(k, threshold, light, hot), "token long, sid long, n int, pos int, score int")
-        .withColumn("hub", F.first(F.struct("sid", "n", "pos")).over(whole.orderBy(F.desc("score"), "sid")))
-        .withColumn("low", F.min("sid").over(whole)).withColumn("high", F.max("sid").over(whole))
-        .where("low <> high").select("token", "sid", "n", "pos", "score", "hub"),
-        "lists",
-    )
-    unordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    pairs = save(unordered(lists.where(_bounded(threshold, "n", "hub.n", "pos", "hub.pos", light)), "sid", "hub.sid"), "pairs")
-    tried = pairs
-    scratch = [survey, counts, sets, lists, pairs]
-    links = save(_verify(docs, sets, pairs, k, threshold, scratch).union(stars), "links")
-    roots = connected_components(links)
-
-    # lists that still hold several components: more stars around each component's most central member, then all pairs
-    for turn in range(hub_rounds + 1):
-        last = turn == hub_rounds
-        apart = lists.join(roots, lists["sid"] == roots["node"], "left").select("token", "sid", "n", "pos", "score", F.coalesce("root", "sid").alias("root"))
-        mixed = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        apart = save(apart.join(mixed, "token", "left_semi").distinct(), "apart")
+    subsets = save(small.where(F.col("n") <= light).select("sid", "blob").mapInArrow(_subsets(threshold, light), "key long, low int, n int, sid long"), "subsets")
+    hubs = subsets.groupBy("key", "low").agg(F.min(F.struct("n", "sid")).alias("hub")).where("hub.n = low")
+    stars = subsets.join(hubs, ["key", "low"]).where("hub.sid <> sid").select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).distinct()
+    stars = save(stars, "stars")
+    roots = None if stars.isEmpty() else _joined_components(None, stars)
+    scratch += [subsets, stars]
+
+    # heavy side: every list around its most central member; after that, lists of two are done, and so is that member
+    postings = docs.select("text").mapInArrow(_postings(k, threshold, light, hot), "token long, salt int, sid long, n int, pos int, score int")
+    lists = save(_first_stars(postings), "lists")
+    pairs = lists.where("sid <> hub.sid").where(_bounded(threshold, "n", "hub.n", "pos", "hub.pos", light)).select(F.col("sid").alias("a"), F.col("hub.sid").alias("b"))
+    pairs = save(pairs.distinct(), "pairs")
+    tried, left = pairs, lists.where("salt >= 0 or (sets > 2 and sid <> hub.sid)").select("token", "sid", "n", "pos", "score")
+    scratch += [lists, pairs]
+    for turn in range(1, star_rounds + 2):
+        links = _verify(docs, sets, pairs, k, threshold, scratch)
+        if not links.isEmpty():
+            roots = _joined_components(roots, links)
+        apart = save(_with_roots(left.drop("root"), roots), "apart")
         scratch.append(apart)
-        if apart.isEmpty():
-            break
-        lists = apart.drop("root")  # components only grow, so the other lists are done
+        last = turn > star_rounds
         if last:
-            hubs = apart
-        else:  # of each list, the most central member of a component that changes with the turn
-            hubs = apart.groupBy("token").agg(F.max_by(F.struct("sid", "n", "pos", "root"), F.struct(F.xxhash64("root", F.lit(turn)), "score", "sid")).alias("h")).select("token", "h.*")
-        hubs = hubs.select("token", F.col("sid").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"))
-        found = apart.join(hubs, "token").where("root <> top").where(_bounded(threshold, "n", "m", "pos", "at", light))
-        fresh = save(unordered(found, "sid", "hub").join(tried, ["a", "b"], "left_anti"), "fresh")
-        scratch.append(fresh)
-        if fresh.isEmpty():
-            continue
-        more = save(_verify(docs, sets, fresh, k, threshold, scratch), "links")
-        tried = tried.union(fresh)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = connected_components(links)
-
-    named = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
+            mixed = save(_mixed(apart), "mixed")
+            texts = _texts(docs, sets, mixed.select("sid").distinct(), scratch)
+            bitmaps = save(texts.select("sid", "text").mapInArrow(_bitmaps(k), "sid long, bits array<long>"), "bitmaps")
+            scratch += [mixed, bitmaps]
+            pairs = _rest_pairs(mixed, bitmaps, threshold, light)
+        else:
+            around = save(_star_pairs(apart, threshold, light, turn), "stars")
+            scratch.append(around)
+            pairs = around.where("meet").select(F.col("sid").alias("a"), "b").distinct()
+            left = around.where("sid <> b").select("token", "sid", "n", "pos", "score")
+        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        scratch.append(pairs)
+        tried = tried.union(pairs)
+    links = _verify(docs, sets, pairs, k, threshold, scratch)
+    if not links.isEmpty():
+        roots = _joined_components(roots, links)
+
+    named = save(_with_roots(sets.select("sid", "doc_id"), roots), "named")
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "root").select("sid", "component_id", "root")
     linked = members.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("crc").alias("text_hash"), "root")
@@ -303,18 +388,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, hot_row
 MOST_BROADCAST = 250_000
 
 
-def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
-    """The pairs of set ids whose texts link."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """Rows (sid, text) for the distinct set ids in wanted."""
     ids = save(sets.join(wanted, "sid", "left_semi").select("sid", F.col("copy.doc_id").alias("id"), F.col("copy.crc").alias("hash")), "wanted")
-    few = ids.count() <= MOST_BROADCAST
+    number = ids.count()
+    few = number <= MOST_BROADCAST
     found = docs.withColumn("crc", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, F.expr("doc_id <=> id and crc = hash"))
-    texts = save(found.groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    texts = save(found.select("sid", "text"), "texts")
     scratch += [ids, texts]
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
-    return joined.mapInArrow(_verified(k, threshold), "a long, b long")
+    if texts.count() > number:  # rows of one id and text
+        texts = save(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
+        scratch.append(texts)
+    return texts
+
+
+def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) of set ids whose texts link; a text travels once to its set's pairs and once to b's."""
+    texts = _texts(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), scratch)
+    right = texts.join(pairs.select("b").distinct(), F.col("sid") == F.col("b"), "left_semi").select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(right, "b").select("a", "text_a", "b", "text_b")
+    return save(joined.mapInArrow(_verified(k, threshold), "a long, b long").distinct(), "links")
 
 
 def oracle(k: int = 5, threshold: int = 80) -> str:
