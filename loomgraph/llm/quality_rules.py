@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Base rules read counts off every whole text. Each further rule rejects documents whose signal is above a cutoff, and the
-cutoff is chosen for each stratum from labelled documents: going from the loosest to the strictest value of a fixed grid,
-a cutoff is accepted while the exact binomial test at the corrected level shows that it rejects less than a share
-`risk / rules` of the good documents (quality 1, not toxic, base rules passed) of the stratum. The walk down a grid stops
-at the first failure (fixed-sequence testing, which needs no correction within a grid); over strata and rules the level
-is divided by their number (Bonferroni). So with probability 1 - level every stratum loses at most a share `risk` of its
-good documents. A stratum with too few labels gets no cutoff, and nothing more than the base rules applies to it.
+Base rules read counts off every whole text. A score then adds up, over a few signals made of those counts, how much more
+often documents labelled bad (quality 0) than good ones fall into the signal's interval, in hundredths of a natural
+logarithm. It is fitted on the labelled documents that a hash of the id picks (FIT, 3 in 16); the fit is a table of
+at most one row for each signal and interval. The other labelled documents are the holdout that chooses a cutoff for
+each stratum: going from the loosest to the strictest value of a fixed grid, a cutoff is accepted while the exact
+binomial test at the corrected level shows that it rejects less than a share `risk` of the good documents (quality 1,
+not toxic, base rules passed) of the stratum. The walk stops at the first failure (fixed-sequence testing, which needs
+no correction within a grid); over strata the level is divided by their number (Bonferroni). So with probability
+1 - level every stratum loses at most a share `risk` of its good documents. A stratum with too few labels gets no cutoff
+(with four strata and none rejected it takes 144 good ones), and nothing more than the base rules applies to it. Of the
+accepted cutoffs the strictest that rejects a holdout document labelled bad which the next looser one keeps is used, so
+a cutoff that does nothing but reject good documents is never chosen.
 
 Defined cases: a null or wordless text has zero counts and fails the base rules. A null stratum is a stratum. Labels that
-contradict one another or are null count as not good; labels without a document are ignored. Repeated rows are judged
+contradict one another or are null count as neither good nor bad; labels without a document are ignored. Repeated rows are judged
 each; extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -25,15 +30,18 @@ from loomgraph.llm.shared import save
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: name, signal over the counts, cutoffs from loose to strict; a document is rejected when its signal is greater.
-RULES: list[tuple[str, str, list[int]]] = [
-    ("symbols", "floor(1000 * n_symbols / n_words)", [2000, 1000, 500, 300, 200, 150, 100, 70, 50, 30, 20]),
-    ("dup_lines", "floor(1000 * n_dup_lines / n_lines)", [900, 800, 600, 500, 400, 300, 200, 100]),
-    ("repeats", "floor(1000 * n_repeat_words / n_words)", [290, 250, 200, 150, 100, 50]),
-    ("long_words", "floor(100 * word_chars / n_words)", [5000, 3000, 2000, 1500, 1200, 1000]),
-    ("short_words", "-floor(100 * word_chars / n_words)", [-110, -130, -150, -200, -250]),
+#: name, signal over the counts, and the edges of its intervals.
+SIGNALS: list[tuple[str, str, list[int]]] = [
+    ("words", "n_words", [30, 45, 70, 100, 150, 250, 400, 700, 1500, 4000]),
+    ("symbols", "floor(1000 * n_symbols / nullif(n_words, 0))", [1, 5, 10, 20, 40, 80, 150, 300]),
+    ("dup_lines", "floor(1000 * n_dup_lines / nullif(n_lines, 0))", [1, 50, 100, 200, 300, 500, 700]),
+    ("repeats", "floor(1000 * n_repeat_words / nullif(n_words, 0))", [1, 30, 60, 100, 150, 200, 250]),
+    ("word_chars", "floor(100 * word_chars / nullif(n_words, 0))", [250, 350, 400, 450, 500, 550, 600, 700, 900, 1500]),
+    ("line_words", "floor(n_words / nullif(n_lines, 0))", [2, 4, 6, 8, 12, 20, 40, 100]),
 ]
-RISK, LEVEL = 0.02, 0.05
+FIT = "012"  # first digits of the md5 of the ids whose labels the score is fitted on, three in sixteen; the others are held out
+CUTOFFS = [1000, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 100, 50, 0]
+RISK, LEVEL = 0.03, 0.05
 
 
 def _let(value: Column, body) -> Column:
@@ -84,42 +92,62 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(F.exp(summed))
 
 
-def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """Rows (stratum, cutoffs map<rule, cutoff>) from features (doc_id, stratum, counts) and labels (doc_id, quality, toxic)."""
-    good = labels.groupBy("doc_id").agg(((F.min(F.coalesce("quality", F.lit(0))) == 1) & (F.max(F.coalesce("toxic", F.lit(1))) == 0)).alias("good")).where("good").select("doc_id")
-    held = features.join(good, "doc_id", "left_semi").where(f"not ({BASE_FAILED})")
-    tests = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(j).alias("j"), F.lit(cut).cast("long").alias("cutoff"), (F.expr(signal) > cut).cast("long").alias("hit")) for name, signal, grid in RULES for j, cut in enumerate(grid)])
-    counted = held.select("stratum", F.explode(tests).alias("t")).groupBy("stratum", "t.rule", "t.j", "t.cutoff").agg(F.count("*").alias("n"), F.sum("t.hit").alias("k"))
+def _intervals() -> Column:
+    """For each signal, the number of edges that it has passed."""
+    return F.array(*[sum((F.coalesce(F.expr(signal) >= edge, F.lit(False)).cast("int") for edge in edges), F.lit(0)) for _, signal, edges in SIGNALS])
+
+
+def fit_score(labelled: DataFrame) -> DataFrame:
+    """Rows (at, interval, weight): for the at-th signal, from rows (intervals, good) of labelled documents."""
+    counted = labelled.select("good", F.posexplode("intervals").alias("at", "interval")).groupBy("at", "interval").agg(F.count(F.when(F.col("good"), 1)).alias("g"), F.count(F.when(~F.col("good"), 1)).alias("b"))
+    totals = counted.groupBy("at").agg(F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
+    return counted.join(totals, "at").select("at", "interval", F.expr("cast(round(100 * ln((b + 1) * (all_g + 10) / ((g + 1) * (all_b + 10)))) as long)").alias("weight"))
+
+
+def score_of(weights: dict[tuple[int, int], int]) -> Column:
+    """The sum of the weights of a document's intervals; an interval without labelled documents weighs nothing."""
+    tables = [F.array(*[F.lit(weights.get((at, i), 0)).cast("long") for i in range(len(edges) + 1)]) for at, (_, _, edges) in enumerate(SIGNALS)]
+    return sum((F.get(table, F.get("intervals", F.lit(at))) for at, table in enumerate(tables)), F.lit(0).cast("long"))
+
+
+def choose_cutoffs(scored: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """Rows (stratum, cutoff) from rows (stratum, score, good) of held out documents."""
+    tests = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(cut).cast("long").alias("cutoff"), (F.col("score") > cut).cast("long").alias("hit")) for j, cut in enumerate(CUTOFFS)])
+    of = lambda good, what: F.sum(F.when(F.col("good") == good, what).otherwise(0))
+    counted = scored.select("stratum", "good", F.explode(tests).alias("t")).groupBy("stratum", "t.j", "t.cutoff").agg(of(True, 1).alias("n"), of(True, F.col("t.hit")).alias("k"), of(False, F.col("t.hit")).alias("caught"))
     counted = save(counted, "tests")
     strata = max(1, counted.select("stratum").distinct().count())
-    passed = counted.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= level / (strata * len(RULES)))
-    walk = Window.partitionBy("stratum", "rule").orderBy("j")
-    held_to = passed.withColumn("ok", F.min("ok").over(walk)).where("ok").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return held_to.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    walk = Window.partitionBy("stratum").orderBy("j")
+    passed = counted.withColumn("ok", F.min(binomial_tail(F.col("k"), F.col("n"), risk) <= level / strata).over(walk)).withColumn("more", F.col("caught") > F.coalesce(F.lag("caught").over(walk), F.lit(0)))
+    return passed.where("ok and more").groupBy("stratum").agg(F.min("cutoff").alias("cutoff"))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), then the columns `keys` of docs."""
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, score, cutoff), then the columns `keys` of docs."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"), *keys)
     features = save(with_counts(plain).select("doc_id", "stratum", *COUNTS, "n_lines", *keys), "features")
-    cutoffs = choose_cutoffs(features, labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic"), risk, level)
-    joined = features.alias("f").join(cutoffs.alias("c"), F.expr("f.stratum <=> c.stratum"), "left").select("f.*", "c.cutoffs")
-    failing = F.filter(F.array(*[F.when(F.expr(signal) > F.element_at("cutoffs", name), name) for name, signal, _ in RULES]), lambda x: x.isNotNull())
-    verdict = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", F.when(F.col("n_words") > 0, failing).otherwise(F.array().cast("array<string>")))
-    return verdict.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), *keys)
+    named = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic").groupBy("doc_id")
+    named = named.agg(F.min("quality").alias("least"), F.max("quality").alias("most"), F.max(F.coalesce("toxic", F.lit(1))).alias("toxic"), F.count(F.when(F.col("quality").isNull(), 1)).alias("nulls"))
+    good = F.expr("case when least = 1 and toxic = 0 and nulls = 0 then true when most = 0 and nulls = 0 then false end")
+    known = named.select("doc_id", good.alias("good"), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*FIT).alias("fits")).where("good is not null")
+    measured = features.where(f"not ({BASE_FAILED})").select("doc_id", "stratum", _intervals().alias("intervals")).join(known, "doc_id")
+    measured = save(measured, "labelled")
+    weights = {(r["at"], r["interval"]): r["weight"] for r in fit_score(measured.where("fits")).collect()}  # a row for each signal and interval
+    score = score_of(weights)
+    cutoffs = choose_cutoffs(measured.where("not fits").select("stratum", score.alias("score"), "good"), risk, level)
+    judged = features.withColumn("intervals", _intervals()).withColumn("score", score)
+    joined = judged.alias("f").join(cutoffs.alias("c"), F.expr("f.stratum <=> c.stratum"), "left").select("f.*", "c.cutoff")
+    verdict = joined.withColumn("base_failed", F.expr(BASE_FAILED))
+    return verdict.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("score") <= F.col("cutoff"), F.lit(True))).alias("kept"), "stratum", "score", "cutoff", *keys)
 
 
 def oracle() -> str:
     """DuckDB SQL for judge() over documents and labels."""
-    tests = " union all ".join(
-        f"select doc_id, stratum, '{name}' as rule, {j} as j, {cut} as cutoff, case when {signal} > {cut} then 1 else 0 end as hit from good" for name, signal, grid in RULES for j, cut in enumerate(grid)
-    )
-    share = RISK / len(RULES)
-    rejects = " or ".join(f"coalesce({signal} > {name}, false)" for name, signal, _ in RULES)
-    pivot = ", ".join(f"max(cutoff) filter (where rule = '{name}') as {name}" for name, *_ in RULES)
+    counts = ", ".join(" + ".join(f"coalesce(({signal} >= {edge})::int, 0)" for edge in edges) for _, signal, edges in SIGNALS)
+    at = list(range(len(SIGNALS)))
     return rf"""
 with docs as (select doc_id, lang as stratum, coalesce(text, '') as text, row_number() over () as r from documents),
 words as (select r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from docs),
@@ -128,15 +156,21 @@ repeated as (select r, i from (select r, i, count(*) over (partition by r, v) as
 covered as (select r, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW})))::bigint as n from (select r, i, lead(i) over (partition by r order by i) as nxt from repeated) group by r),
 lines as (select r, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as l from docs) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
 features as materialized (
-  select doc_id, stratum, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+  select r, doc_id, stratum, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
   from docs join words using (r) left join covered using (r) left join lines using (r)),
-good as (select f.* from features f where not ({BASE_FAILED}) and doc_id in (select doc_id from labels group by doc_id having min(coalesce(quality, 0)) = 1 and max(coalesce(toxic, 1)) = 0)),
-tests as (select stratum, rule, j, cutoff, count(*) as n, sum(hit) as k from ({tests}) group by all),
+known as (select doc_id, case when min(quality) = 1 and max(coalesce(toxic, 1)) = 0 and count(*) = count(quality) then true when max(quality) = 0 and count(*) = count(quality) then false end as good,
+    md5(doc_id::varchar)[1] in {tuple(FIT)} as fits from labels group by doc_id),
+intervals as materialized (select r, doc_id, stratum, {BASE_FAILED} as base_failed, unnest({at}) as sig, unnest([{counts}]) as passed from features),
+fitted as (select sig, passed, count(*) filter (where good) as g, count(*) filter (where not good) as b from intervals join known using (doc_id) where fits and not base_failed and good is not null group by all),
+weights as (select sig, passed, round(100 * ln((b + 1) * (sum(g) over w + 10) / ((g + 1) * (sum(b) over w + 10))))::bigint as weight from fitted window w as (partition by sig)),
+scores as materialized (select r, sum(coalesce(weight, 0))::bigint as score from intervals left join weights using (sig, passed) group by r),
+held as (select stratum, score, good from features join scores using (r) join known using (doc_id) where not fits and good is not null and not ({BASE_FAILED})),
+tests as (select stratum, j, cutoff, count(*) filter (where good) as n, count(*) filter (where good and score > cutoff) as k, count(*) filter (where not good and score > cutoff) as caught from held, (select unnest({CUTOFFS}) as cutoff, unnest(range(0, {len(CUTOFFS)})) as j) group by all),
 judged as (
-  select *, case when k > n * {share} then 1.0 else list_sum(list_transform(range(0, k::bigint + 1), lambda i: exp(lgamma(n + 1) - (case when i = 0 then 0 else lgamma(i + 1) end) - (case when n = i then 0 else lgamma(n - i + 1) end) + i * ln({share}) + (n - i) * ln(1 - {share})))) end
-    <= {LEVEL} / ((select greatest(1, count(distinct coalesce(stratum, '\0'))) from tests) * {len(RULES)}) as ok from tests),
-cutoffs as materialized (select stratum, rule, min(cutoff) as cutoff from (select *, min(ok::int) over (partition by stratum, rule order by j) as walk from judged) where walk = 1 group by all)
-select doc_id, {", ".join(COUNTS)}, {BASE_FAILED} as base_failed, not ({BASE_FAILED}) and not ({rejects}) as kept
-from features f left join (select stratum, {pivot} from cutoffs group by stratum) c on c.stratum is not distinct from f.stratum
+  select *, case when k > n * {RISK} then 1.0 else list_sum(list_transform(range(0, k::bigint + 1), lambda i: exp(lgamma(n + 1) - (case when i = 0 then 0 else lgamma(i + 1) end) - (case when n = i then 0 else lgamma(n - i + 1) end) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) end
+    <= {LEVEL} / (select greatest(1, count(distinct coalesce(stratum, '\0'))) from tests) as ok, caught > coalesce(lag(caught) over (partition by stratum order by j), 0) as more from tests),
+cutoffs as materialized (select stratum, min(cutoff)::bigint as cutoff from (select *, min(ok::int) over (partition by stratum order by j) as walk from judged) where walk = 1 and more group by all)
+select doc_id, {", ".join(COUNTS)}, {BASE_FAILED} as base_failed, not ({BASE_FAILED}) and coalesce(score <= cutoff, true) as kept, f.stratum, score, cutoff
+from features f join scores using (r) left join cutoffs c on c.stratum is not distinct from f.stratum
 """

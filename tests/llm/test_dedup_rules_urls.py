@@ -128,7 +128,7 @@ def counts(text):
 def test_quality_counts(spark):
     rows = [*HARD, (20, "#*$ a|b <c> 😀 & %"), (21, ("a b c d e f g h i " * 2) + "z a b c d e f g h"), (22, "r " * 100)]
     labels = spark.createDataFrame([(20, 1, 0), (20, 0, None), (99, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = Counter(map(tuple, quality_rules.judge(docs_of(spark, rows), labels).collect()))
+    got = Counter(tuple(r)[:8] for r in quality_rules.judge(docs_of(spark, rows), labels).collect())
     want = Counter()
     for d, t in rows:
         n = counts(t)
@@ -150,14 +150,27 @@ def test_binomial_tail(spark):
 
 
 def test_cutoffs_hold_the_risk(spark):
-    """With many labels a stratum gets cutoffs, and they reject few good documents; a small stratum gets none."""
-    rows = [(i, "big" if i < 6000 else "small", 100, 500, 50 if i % 100 == 0 else 0, 10, 0, 0) for i in range(6100)]
-    features = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    labels = features.selectExpr("doc_id", "1 as quality", "0 as toxic")
-    found = {r.stratum: r.cutoffs for r in quality_rules.choose_cutoffs(features, labels).collect()}
-    assert set(found) == {"big"}
-    assert found["big"]["symbols"] == 500  # a stricter one would reject one in a hundred
-    assert found["big"]["dup_lines"] == 100 and found["big"]["long_words"] == 1000
+    """The strictest cutoff that a test allows and that catches something; a small stratum and one with nothing to catch get none."""
+    rows = [("big", 400 if i % 100 == 0 else 40, True) for i in range(6000)] + [("big", s, False) for s in (900, 480, 420, 70, 30)] + [("small", 0, True)] * 100 + [("small", 900, False)] * 50 + [("clean", -50, True)] * 500
+    found = {r.stratum: r.cutoff for r in quality_rules.choose_cutoffs(spark.createDataFrame(rows, "stratum string, score long, good boolean")).collect()}
+    assert found == {"big": 50}  # 0 would reject all; one in a hundred good ones goes
+
+
+def test_score_finds_bad_documents(spark):
+    """Documents labelled bad have many symbols: the score of symbols rises, and the cutoffs reject nearly all bad ones and few good ones."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(4000):
+        bad = rng.random() < 0.2
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+        for _ in range(rng.randint(20, 40) if bad else rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(60)] += "#"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1 - bad, 0))
+    got = quality_rules.judge(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    bad = {d for d, q, _ in labels if not q}
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(kept & bad) < 0.05 * len(bad) and len(kept - bad) > 0.98 * (len(rows) - len(bad))
 
 
 def test_quality_oracle(spark, sf_dir):
