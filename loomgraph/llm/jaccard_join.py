@@ -356,8 +356,8 @@ def jaccard_components(
         last = turn > star_rounds
         if last:
             mixed = save(_mixed(apart), "mixed")
-            texts = _texts(docs, sets, mixed.select("sid").distinct(), scratch)
-            bitmaps = save(texts.select("sid", "text").mapInArrow(_bitmaps(k), "sid long, bits array<long>"), "bitmaps")
+            found, _ = _texts(docs, sets, mixed.select("sid").distinct(), scratch)
+            bitmaps = save(found.mapInArrow(_bitmaps(k), "sid long, bits array<long>").groupBy("sid").agg(F.first("bits").alias("bits")), "bitmaps")
             scratch += [mixed, bitmaps]
             pairs = _rest_pairs(mixed, bitmaps, threshold, light)
         else:
@@ -384,30 +384,32 @@ def jaccard_components(
     return result
 
 
-#: Up to so many wanted sets (16 bytes each) are broadcast to pick their texts without a shuffle; more are joined by key.
+#: Up to so many wanted sets (24 bytes each) or pairs are broadcast to meet texts without a shuffle; more are joined by key.
 MOST_BROADCAST = 250_000
 
 
-def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """Rows (sid, text) for the distinct set ids in wanted."""
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Rows (sid, text) for the distinct set ids in wanted, several where rows share id and text, and the number of ids."""
     ids = save(sets.join(wanted, "sid", "left_semi").select("sid", F.col("copy.doc_id").alias("id"), F.col("copy.crc").alias("hash")), "wanted")
+    scratch.append(ids)
     number = ids.count()
-    few = number <= MOST_BROADCAST
-    found = docs.withColumn("crc", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, F.expr("doc_id <=> id and crc = hash"))
-    texts = save(found.select("sid", "text"), "texts")
-    scratch += [ids, texts]
-    if texts.count() > number:  # rows of one id and text
-        texts = save(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
-        scratch.append(texts)
-    return texts
+    few = F.broadcast(ids) if number <= MOST_BROADCAST else ids
+    return docs.withColumn("crc", F.xxhash64("text")).join(few, F.expr("doc_id <=> id and crc = hash")).select("sid", "text"), number
 
 
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
-    """The pairs (a, b) of set ids whose texts link; a text travels once to its set's pairs and once to b's."""
-    texts = _texts(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), scratch)
-    right = texts.join(pairs.select("b").distinct(), F.col("sid") == F.col("b"), "left_semi").select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(right, "b").select("a", "text_a", "b", "text_b")
-    return save(joined.mapInArrow(_verified(k, threshold), "a long, b long").distinct(), "links")
+    """The pairs (a, b) of set ids whose texts link. Up to MOST_BROADCAST pairs go to the texts of a, else both are
+    shuffled; then a's texts meet those of the few sets that are b."""
+    found, number = _texts(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), scratch)
+    texts = save(found, "texts")
+    if texts.count() > number:
+        texts = save(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
+        scratch.append(texts)
+    small = F.broadcast if pairs.count() <= MOST_BROADCAST else lambda df: df
+    right = texts.join(small(pairs.select("b").distinct()), F.col("sid") == F.col("b"), "left_semi").select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+    left = texts.join(small(pairs), F.col("sid") == F.col("a")).select("a", F.col("text").alias("text_a"), "b")
+    scratch.append(texts)
+    return save(left.join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(_verified(k, threshold), "a long, b long").distinct(), "links")
 
 
 def oracle(k: int = 5, threshold: int = 80) -> str:

@@ -401,3 +401,25 @@ def test_pipeline(spark, sf_dir):
                 for a, b in sorted(spans[d], reverse=True):
                     raw = raw[:a] + raw[b:]
                 assert after[d] == raw.decode()
+
+
+def test_jaccard_light_side_links_distinct_sets(spark):
+    """Short texts that near copies make dear to verify: the boundary leaves sets of 4, 5 and 6 shingles to the enumeration, which links them."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 400, 2):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(9)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "tail"]))]
+    same = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(9)]
+    rows += [(1000 + i, " ".join([*same, f"own{i}"])) for i in range(50)] + [(999, " ".join(same))]
+    stats = [(n, 100, 100 * (jaccard_join._prefix(n, 80) + jaccard_join.VERIFYING)) for n in (4, 5, 6)]
+    assert jaccard_join.boundary(stats, 80) >= 6
+    verified = []
+    held, jaccard_join._verify = jaccard_join._verify, lambda docs, sets, pairs, *more: verified.append(pairs.count()) or held(docs, sets, pairs, *more)
+    try:
+        got = Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, [(d, t) for d, t in rows if d >= 999])).collect()))
+    finally:
+        jaccard_join._verify = held
+    assert got == brute_components([(d, t) for d, t in rows if d >= 999]) and len({c for *_, c in got}) == 1
+    assert sum(verified) == 0
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
