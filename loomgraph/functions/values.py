@@ -83,7 +83,7 @@ def in_list(x, values) -> Column:
 
 def matches(s, pattern: str) -> Column:
     """The pattern must match the whole string."""
-    return col(s).rlike(f"^(?:{pattern})$")
+    return col(s).rlike(rf"\A(?:{pattern})\z")
 
 
 # ---------------------------------------------------------------- lists
@@ -243,6 +243,28 @@ def log10(x) -> Column:
     return _log(x, F.log10)
 
 
+def power(x, y) -> Column:
+    return F.pow(col(x).cast("double"), col(y).cast("double"))
+
+
+def pi() -> Column:
+    return F.pi()
+
+
+def e() -> Column:
+    return F.e()
+
+
+def rand(seed: int | None = None) -> Column:
+    """Uniform in [0, 1); with a seed the same for the same rows and partitions."""
+    return F.rand() if seed is None else F.rand(seed)
+
+
+def concat_lists(a, b) -> Column:
+    """list + list, and list + element; null if one is null."""
+    return F.concat(col(a), col(b))
+
+
 # ---------------------------------------------------------------- conversion
 
 
@@ -269,9 +291,14 @@ def to_string(x) -> Column:
 
 
 def properties(var: str, names: list[str]) -> Column:
-    """The non-null properties of a bound variable as a map of strings."""
-    pairs = [x for n in names for x in (F.lit(n), F.col(f"{var}__{n}").cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    """The properties of a bound variable as a struct, each with its own type; one that is missing is null."""
+    return F.struct(*[F.col(f"{var}__{n}").alias(n) for n in names])
+
+
+def labels(var: str, columns: list[str]) -> Column:
+    """All labels of a bound node: the first one, then those beside it, if its columns have any."""
+    first = F.array(F.col(f"{var}__label"))
+    return F.concat(first, F.coalesce(F.col(f"{var}__extra_labels"), F.array().cast("array<string>"))) if f"{var}__extra_labels" in columns else first
 
 
 def keys(var: str, names: list[str]) -> Column:

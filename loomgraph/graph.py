@@ -8,10 +8,11 @@ Writes give a new graph that shares the tables it does not change.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE, REL = ("_id", "_extra_labels"), ("_id", "_src", "_dst")
@@ -21,22 +22,53 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for, so a query reads the files of the tables it uses only."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __contains__(self, name) -> bool:
+        return name in self._makers
+
+    def having(self, name: str, table: DataFrame) -> "Tables":
+        after = Tables({**self._makers, name: lambda: table})
+        after._made = {**self._made, name: table}
+        return after
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
-    nodes: dict[str, DataFrame]
-    rels: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame]
+    rels: Mapping[str, DataFrame] = field(default_factory=dict)
     #: Where a relationship type leads: type -> label of its targets, if there is just one; spares a join.
     targets: dict[str, str] = field(default_factory=dict)
+    #: Labels whose ids are a stored key plus a constant: label -> (key, constant); a look-up by id then reaches the scan.
+    id_keys: dict[str, tuple[str, int]] = field(default_factory=dict)
+    #: Labels whose tables are known to have no labels beside the first one.
+    single: frozenset = frozenset()
 
     @property
     def spark(self):
-        return next(iter([*self.nodes.values(), *self.rels.values()])).sparkSession
+        return SparkSession.active()
 
     def with_nodes(self, label: str, table: DataFrame) -> "PropertyGraph":
-        return replace(self, nodes={**self.nodes, label: table})
+        nodes = self.nodes.having(label, table) if isinstance(self.nodes, Tables) else {**self.nodes, label: table}
+        return replace(self, nodes=nodes, id_keys={k: v for k, v in self.id_keys.items() if k != label}, single=self.single - {label})
 
     def with_rels(self, rel_type: str, table: DataFrame) -> "PropertyGraph":
-        return replace(self, rels={**self.rels, rel_type: table})
+        return replace(self, rels=self.rels.having(rel_type, table) if isinstance(self.rels, Tables) else {**self.rels, rel_type: table})
 
     def node_table(self, labels: str | list[str] | None = None, properties: list[str] | None = None) -> DataFrame:
         """Nodes with one of the labels (all if none are named), with `_label`; unknown labels have no nodes."""
@@ -47,8 +79,9 @@ class PropertyGraph:
                 table = self.nodes[label]
                 keep = [c for c in table.columns if c in NODE or properties is None or c in properties]
                 held.append(table.select(*keep, F.lit(label).alias("_label")))
-            for other, table in self.nodes.items():  # nodes that carry the label beside their first one
-                if labels is not None and other not in wanted and "_extra_labels" in table.columns:
+            for other in self.nodes if labels is not None else ():  # nodes that carry the label beside their first one
+                if other not in wanted and other not in self.single and "_extra_labels" in self.nodes[other].columns:
+                    table = self.nodes[other]
                     keep = [c for c in table.columns if c in NODE or properties is None or c in properties]
                     held.append(table.where(F.array_contains("_extra_labels", label)).select(*keep, F.lit(other).alias("_label")))
         if not held:
@@ -72,7 +105,14 @@ class PropertyGraph:
         return table.repartition("source").sortWithinPartitions("source", "target", "relationship")
 
     def node_by_id(self, node_id: int, labels: str | list[str] | None = None) -> DataFrame:
-        return self.node_table(labels).where(F.col("_id") == node_id)
+        """The node with an id; where ids are a key plus a constant, the key is compared, which the scan can do."""
+        wanted = list(self.nodes) if labels is None else [labels] if isinstance(labels, str) else list(labels)
+        plain = [k for k in wanted if k in self.id_keys]
+        found = [self.nodes[k].where(F.col(self.id_keys[k][0]) == F.lit(node_id - self.id_keys[k][1])).withColumn("_label", F.lit(k)) for k in plain]
+        others = [k for k in wanted if k not in self.id_keys]
+        if others or not plain or any(k not in self.single for k in self.nodes):
+            found.append(self.node_table(others or wanted).where(F.col("_id") == node_id))
+        return union_all(found).dropDuplicates(["_id", "_label"]) if len(found) > 1 else found[0]
 
     def nodes_by_property(self, name: str, value, labels: str | list[str] | None = None) -> DataFrame:
         held = [t.where(F.col(name) == value).withColumn("_label", F.lit(k)) for k, t in self.nodes.items() if name in t.columns and (labels is None or k in ([labels] if isinstance(labels, str) else labels))]

@@ -8,6 +8,7 @@ that is bound already is compared, not bound again, which closes cycles.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,15 +164,16 @@ def expand_paths(
     return found.join(ends, F.col("__at") == F.col(f"{end}__id")).drop("__at", *drop)
 
 
-def shortest_paths(df: DataFrame, graph: PropertyGraph, start: str, types, end: str, *, most: int = HOP_LIMIT, direction: str = "out") -> DataFrame:
+def shortest_paths(df: DataFrame, graph: PropertyGraph, start: str, types, end: str, *, most: int | None = None, direction: str = "out") -> DataFrame:
     """Length of a shortest path from each distinct start to every node it reaches: `end__id`, `<end>__distance`.
 
-    Breadth first: each round joins the last round's new (start, node) pairs to relationships and keeps unseen ones.
+    Breadth first: each round joins the last round's new (start, node) pairs to relationships and keeps unseen ones,
+    until there are none. `most` bounds the length, as `*..most` does in a pattern.
     """
     hops = _oriented(graph, "__h", types, direction, None).select("__from", "__to").distinct()
     seen = df.select(f"{start}__id").distinct().select(f"{start}__id", F.col(f"{start}__id").alias(f"{end}__id"), F.lit(0).alias(f"{end}__distance"))
     frontier = seen
-    for length in range(1, most + 1):
+    for length in count(1) if most is None else range(1, most + 1):
         reached = frontier.join(hops, F.col(f"{end}__id") == F.col("__from")).select(f"{start}__id", F.col("__to").alias(f"{end}__id")).distinct()
         frontier = materialize(reached.join(seen, [f"{start}__id", f"{end}__id"], "left_anti").withColumn(f"{end}__distance", F.lit(length)), "reached")
         if frontier.isEmpty():

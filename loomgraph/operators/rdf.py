@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.scratch import materialize
+
 TERM = "struct<kind:string,value:string,datatype:string,lang:string>"
 QUAD = f"s {TERM}, p {TERM}, o {TERM}, g {TERM}"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -28,13 +30,14 @@ def blank(value: str) -> Term:
 
 
 def literal(value: str, datatype: str | None = None, lang: str | None = None) -> Term:
-    return ("literal", value, datatype or (LANG_STRING if lang else XSD + "string"), lang)
+    """Language tags are held in lower case, as they are the same in any."""
+    return ("literal", value, datatype or (LANG_STRING if lang else XSD + "string"), lang and lang.lower())
 
 
 def term(kind, value, datatype=None, lang=None) -> Column:
     """A term from Columns or plain strings."""
     column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    return F.struct(column(kind).alias("kind"), column(value).alias("value"), column(datatype).alias("datatype"), column(lang).alias("lang"))
+    return F.struct(column(kind).alias("kind"), column(value).alias("value"), column(datatype).alias("datatype"), F.lower(column(lang)).alias("lang"))
 
 
 def _is(position: str, t: Term) -> Column:
@@ -79,8 +82,9 @@ class RdfStore:
         """The dictionary: term and term_id from 1, in canonical order (blank nodes, IRIs, literals)."""
         used = reduce(lambda a, b: a.union(b), [self.quads.select(F.col(c).alias("term")) for c in "spog"]).where("term is not null").distinct()
         rank = F.array_position(F.array(F.lit("blank"), F.lit("iri"), F.lit("literal")), F.col("term.kind"))
-        parts = used.repartitionByRange(F.col("term.value"), rank, F.col("term.datatype"), F.col("term.lang"))
-        inside = parts.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(F.col("term.value"), rank, "term.datatype", "term.lang")))
+        order = (rank, F.col("term.value"), F.col("term.datatype"), F.col("term.lang"))
+        parts = materialize(used.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "terms")
+        inside = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
         sizes = inside.groupBy("part").agg(F.count("*").alias("n"))
         bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         return inside.join(bases, "part").select("term", (F.col("base") + F.col("at")).alias("term_id"))

@@ -6,7 +6,7 @@ written out once, so a later read or a lost executor does not number them anew.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +27,12 @@ def _number(df: DataFrame, first: int, name: str = "_id") -> DataFrame:
     """Dense ids from first: rows are counted by partition, and each partition is numbered from the rows before it."""
     placed = materialize(df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "created")
     counts = sorted(placed.groupBy("__part").agg(F.count("*"), F.min("__at")).collect())  # one row per partition
-    base, before = [], first
+    offsets, before = [], first
     for part, n, least in counts:
-        base += [F.lit(part), F.lit(before - least)]
+        offsets.append((part, before - least))
         before += n
-    offset = F.element_at(F.create_map(*base), F.col("__part")) if base else F.lit(0)
-    return materialize(placed.withColumn(name, (F.col("__at") + offset).cast("long")).drop("__part", "__at"), "numbered")
+    bases = df.sparkSession.createDataFrame(offsets, "__part int, __base long")  # one row per partition, so it is broadcast
+    return materialize(placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__at") + F.col("__base")).drop("__part", "__at", "__base"), "numbered")
 
 
 def _next_id(table: DataFrame | None) -> int:
@@ -150,10 +150,10 @@ def delete_nodes(graph: PropertyGraph, label: str, ids: DataFrame, detach: bool
             for end in ("_src", "_dst"):
                 table = table.join(gone.select(F.col("_id").alias(end)), end, "left_anti").select(*graph.rels[rel_type].columns)
             rels[rel_type] = table
-        elif not table.join(gone, (F.col("_src") == gone["_id"]) | (F.col("_dst") == gone["_id"]), "left_semi").isEmpty():
+        elif any(not table.join(gone.select(F.col("_id").alias(end)), end, "left_semi").isEmpty() for end in ("_src", "_dst")):
             raise ValueError(f"nodes to delete still have relationships of type {rel_type}")
-    kept = graph.nodes[label].join(gone, "_id", "left_anti")
-    return PropertyGraph({**graph.nodes, label: kept}, rels, graph.targets)
+    kept = graph.with_nodes(label, graph.nodes[label].join(gone, "_id", "left_anti"))
+    return replace(kept, rels=rels) if detach else kept
 
 
 def for_each(graph: PropertyGraph, rows: DataFrame, values: Column, name: str, write) -> PropertyGraph:

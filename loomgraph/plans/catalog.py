@@ -137,7 +137,7 @@ def project_slice_index(g):
 @query("select c_custkey as custkey, c_name as name, 3 as size from customer")
 def project_map(g):
     df = m.scan(g, "c", "Customer").withColumn("mp", v.properties("c", ["custkey", "name", "mktsegment"]))
-    return df.select(F.col("c__custkey").alias("custkey"), F.try_element_at("mp", F.lit("name")).alias("name"), F.size("mp").alias("size"))
+    return df.select(F.col("c__custkey").alias("custkey"), F.col("mp.name").alias("name"), F.size(v.keys("c", ["custkey", "name", "mktsegment"])).alias("size"))
 
 
 @query("select c_custkey as custkey from customer where c_acctbal > 5000.0 and c_mktsegment = 'MACHINERY'")
@@ -268,9 +268,9 @@ def varlen_unbounded_dag(g):
     return df.select(F.col("s__suppkey").alias("suppkey"), F.col("x__name").alias("place"))
 
 
-@query("with recursive " + FOLLOWS.replace("f as (", "f as materialized (", 1) + ", b as (select 1::bigint as x, 0 as n union all select f.t, n + 1 from b join f on f.s = b.x where n < 5) select x as custkey, min(n) as distance from b group by x")
+@query("with recursive " + FOLLOWS.replace("f as (", "f as materialized (", 1) + ", b as (select 1::bigint as x, 0 as n union select f.t, n + 1 from b join f on f.s = b.x where n < 40) select x as custkey, min(n) as distance from b group by x")
 def shortest_path(g):
-    df = m.shortest_paths(m.scan(g, "a", "Customer", properties={"custkey": 1}), g, "a", "FOLLOWS", "b", most=5)
+    df = m.shortest_paths(m.scan(g, "a", "Customer", properties={"custkey": 1}), g, "a", "FOLLOWS", "b")
     return df.select((F.col("b__id") - F.lit(3 << 48)).alias("custkey"), F.col("b__distance").alias("distance"))
 
 
@@ -590,11 +590,11 @@ def rdf_n_triples(t):
 # ---------------------------------------------------------------- files, written and read back
 
 
-def _small(g):
+def _orders(g):
     from loomgraph.graph import PropertyGraph
 
-    keep = {k: g.nodes[k] for k in ("Region", "Nation")}
-    return PropertyGraph(keep, {"IN_REGION": g.rels["IN_REGION"]}, {"IN_REGION": "Region"})
+    keep = {k: g.nodes[k] for k in ("Customer", "Order")}
+    return PropertyGraph(keep, {"PLACED": g.rels["PLACED"]}, {"PLACED": "Order"})
 
 
 def _again(g, kind):
@@ -603,38 +603,42 @@ def _again(g, kind):
     from loomgraph.sources import files
 
     path = f"{scratch_folder(g.spark)}/export-{uuid.uuid4()}"
-    files.write_graph(_small(g), path, kind)
+    files.write_graph(_orders(g), path, kind)
     return files.read_graph(g.spark, path, kind)
 
 
-@query("select n_name as nation, n_nationkey::bigint as k, r_name as region from nation join region on n_regionkey = r_regionkey")
+@query("select o_orderkey::bigint as k, o_orderstatus as status, c_name as name from orders join customer on o_custkey = c_custkey")
 def io_jsonl_roundtrip(g):
     g2 = _again(g, "jsonl")
-    df = m.expand(m.scan(g2, "n", "Nation"), g2, "n", "IN_REGION", "r", labels="Region")
-    return df.select(F.col("n__name").alias("nation"), F.col("n__nationkey").alias("k"), F.col("r__name").alias("region"))
+    df = m.expand(m.scan(g2, "c", "Customer"), g2, "c", "PLACED", "o", labels="Order")
+    return df.select(F.col("o__orderkey").alias("k"), F.col("o__orderstatus").alias("status"), F.col("c__name").alias("name"))
 
 
-@query("select n_name as nation, r_name as region from nation join region on n_regionkey = r_regionkey")
+@query("select o_orderstatus as status, c_name as name from orders join customer on o_custkey = c_custkey")
 def io_turtle_roundtrip(g):
     g2 = _again(g, "turtle")
-    df = m.expand(m.scan(g2, "n", "Resource"), g2, "n", "IN_REGION", "r", labels="Resource")
-    return df.select(F.col("n__name").alias("nation"), F.col("r__name").alias("region"))
+    df = m.expand(m.scan(g2, "c", "Resource"), g2, "c", "PLACED", "o", labels="Resource")
+    return df.select(F.col("o__orderstatus").alias("status"), F.col("c__name").alias("name"))
 
 
-@query("select n_nationkey::bigint as k, n_name as name from nation")
+@query("select c_custkey::bigint as k, c_name as name from customer")
 def io_csv_roundtrip(g):
     import uuid
 
     from loomgraph.sources import files
 
     path = f"{scratch_folder(g.spark)}/export-{uuid.uuid4()}"
-    g.nodes["Nation"].select("_id", F.lit("Nation").alias("_label"), "nationkey", "name").write.option("header", True).csv(path)
+    g.nodes["Customer"].select("_id", F.lit("Customer").alias("_label"), "custkey", "name").write.option("header", True).csv(path)
     g2 = files.read_csv(g.spark, path)
-    return g2.nodes["Nation"].select(F.col("nationkey").alias("k"), "name")
+    return g2.nodes["Customer"].select(F.col("custkey").alias("k"), "name")
 
 
 @query("select 'CREATE (n' || (562949953421312 + n_nationkey)::varchar || ':Nation {_nid: ' || (562949953421312 + n_nationkey)::varchar || ', name: ''' || n_name || ''', nationkey: ' || n_nationkey || '});' as line from nation")
 def io_cypher_export(g):
+    from loomgraph.graph import PropertyGraph
     from loomgraph.sources import files
 
-    return files.cypher_lines(_small(g)).where(F.col("value").contains(":Nation {")).select(F.col("value").alias("line"))
+    return files.cypher_lines(PropertyGraph({"Nation": g.nodes["Nation"]})).select(F.col("value").alias("line"))
+
+
+from loomgraph.plans import catalog_extra  # noqa: E402, F401  registers its queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.graph import PropertyGraph
+from loomgraph.graph import PropertyGraph, Tables
 from loomgraph.operators.rdf import RdfStore, XSD, term
 
 _ORDINAL = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "User": 7, "Event": 8, "Document": 9}
@@ -18,40 +18,55 @@ def node_id(label: str, key):
 def sample_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def nodes(table: DataFrame, label: str, prefix: str, key: str, *names: str) -> DataFrame:
-        return table.select(node_id(label, prefix + key).alias("_id"), F.col(prefix + key).cast("bigint").alias(key), *[F.col(prefix + n).alias(n) for n in names])
+    def nodes(table: str, label: str, prefix: str, key: str, *names: str):
+        return lambda: read(table).select(node_id(label, prefix + key).alias("_id"), F.col(prefix + key).cast("bigint").alias(key), *[F.col(prefix + n).alias(n) for n in names])
+
+    def edge(table: str, src: str, a: str, dst: str, b: str):
+        return read(table).select(node_id(src, a).alias("_id"), node_id(src, a).alias("_src"), node_id(dst, b).alias("_dst"))
+
+    def documents() -> DataFrame:
+        labels = read("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        return read("documents").join(labels, "doc_id", "left").select(node_id("Document", "doc_id").alias("_id"), "doc_id", "lang", "source", "n_chars", "quality", "toxic")
+
+    def follows() -> DataFrame:
+        customer = read("customer")
+        n, key, base = customer.count(), F.col("c_custkey"), F.lit(_ORDINAL["Customer"] << 48)  # modular arithmetic over the number of customers
+        pair = lambda e, t: F.struct(e.alias("e"), key.alias("k"), (t % n).alias("t"))
+        ends = customer.select(F.explode(F.array(pair(2 * key, 2 * key + 1), pair(2 * key + 1, 3 * key + 2))).alias("x"))
+        return ends.select(F.col("x.e").alias("_id"), (base + F.col("x.k")).alias("_src"), (base + F.col("x.t")).alias("_dst"), (F.col("x.e") % 7).alias("weight"))
+
+    def line(dst: str, key: str, *more: str):
+        table = read("lineitem")
+        return table.select(F.xxhash64(*table.columns).alias("_id"), node_id("Order", "l_orderkey").alias("_src"), node_id(dst, key).alias("_dst"), *[F.col(f"l_{x}").alias(x) for x in more])
+
+    def following() -> DataFrame:
+        after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+        return read("events").withColumn("next", after).where("next is not null").select(node_id("Event", "event_id").alias("_id"), node_id("Event", "event_id").alias("_src"), node_id("Event", "next").alias("_dst"))
 
-    region, nation, customer, supplier, part, orders, line, events, docs = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"))
-    labels = read("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     tables = {
-        "Region": nodes(region, "Region", "r_", "regionkey", "name"),
-        "Nation": nodes(nation, "Nation", "n_", "nationkey", "name"),
-        "Customer": nodes(customer, "Customer", "c_", "custkey", "name", "acctbal", "mktsegment"),
-        "Supplier": nodes(supplier, "Supplier", "s_", "suppkey", "name", "acctbal"),
-        "Part": nodes(part, "Part", "p_", "partkey", "name", "brand", "type", "size", "retailprice"),
-        "Order": nodes(orders, "Order", "o_", "orderkey", "orderstatus", "totalprice", "orderdate", "orderpriority"),
-        "User": events.select(F.col("user_id")).distinct().select(node_id("User", "user_id").alias("_id"), "user_id"),
-        "Event": events.select(node_id("Event", "event_id").alias("_id"), "event_id", "ts", "event_type", "value", "props"),
-        "Document": docs.join(labels, "doc_id", "left").select(node_id("Document", "doc_id").alias("_id"), "doc_id", "lang", "source", "n_chars", "quality", "toxic"),
+        "Region": nodes("region", "Region", "r_", "regionkey", "name"),
+        "Nation": nodes("nation", "Nation", "n_", "nationkey", "name"),
+        "Customer": nodes("customer", "Customer", "c_", "custkey", "name", "acctbal", "mktsegment"),
+        "Supplier": nodes("supplier", "Supplier", "s_", "suppkey", "name", "acctbal"),
+        "Part": nodes("part", "Part", "p_", "partkey", "name", "brand", "type", "size", "retailprice"),
+        "Order": nodes("orders", "Order", "o_", "orderkey", "orderstatus", "totalprice", "orderdate", "orderpriority"),
+        "User": lambda: read("events").select("user_id").distinct().select(node_id("User", "user_id").alias("_id"), "user_id"),
+        "Event": lambda: read("events").select(node_id("Event", "event_id").alias("_id"), "event_id", "ts", "event_type", "value", "props"),
+        "Document": documents,
     }
-    n = customer.agg(F.count("*")).scalar()  # FOLLOWS is modular arithmetic over the number of customers
-    base = F.lit(_ORDINAL["Customer"] << 48)
-    follows = customer.select(F.explode(F.array(F.struct((2 * F.col("c_custkey")).alias("e"), F.col("c_custkey").alias("k"), ((2 * F.col("c_custkey") + 1) % n).alias("t")), F.struct((2 * F.col("c_custkey") + 1).alias("e"), F.col("c_custkey").alias("k"), ((3 * F.col("c_custkey") + 2) % n).alias("t")))).alias("x"))
-    follows = follows.select(F.col("x.e").alias("_id"), (base + F.col("x.k")).alias("_src"), (base + F.col("x.t")).alias("_dst"), (F.col("x.e") % 7).alias("weight"))
-    edge = lambda t, src, a, dst, b: t.select(node_id(src, a).alias("_id"), node_id(src, a).alias("_src"), node_id(dst, b).alias("_dst"))
-    line_id = F.xxhash64(*line.columns)
     rels = {
-        "IN_REGION": edge(nation, "Nation", "n_nationkey", "Region", "n_regionkey"),
-        "IN_NATION": edge(customer, "Customer", "c_custkey", "Nation", "c_nationkey").union(edge(supplier, "Supplier", "s_suppkey", "Nation", "s_nationkey")),
-        "PLACED": orders.select(node_id("Order", "o_orderkey").alias("_id"), node_id("Customer", "o_custkey").alias("_src"), node_id("Order", "o_orderkey").alias("_dst")),
-        "CONTAINS": line.select(line_id.alias("_id"), node_id("Order", "l_orderkey").alias("_src"), node_id("Part", "l_partkey").alias("_dst"), *[F.col(f"l_{x}").alias(x) for x in ("linenumber", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")]),
-        "SUPPLIED_BY": line.select(line_id.alias("_id"), node_id("Order", "l_orderkey").alias("_src"), node_id("Supplier", "l_suppkey").alias("_dst"), F.col("l_linenumber").alias("linenumber"), F.col("l_quantity").alias("quantity")),
-        "PERFORMED": events.select(node_id("Event", "event_id").alias("_id"), node_id("User", "user_id").alias("_src"), node_id("Event", "event_id").alias("_dst")),
-        "NEXT": events.withColumn("next", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("next is not null").select(node_id("Event", "event_id").alias("_id"), node_id("Event", "event_id").alias("_src"), node_id("Event", "next").alias("_dst")),
+        "IN_REGION": lambda: edge("nation", "Nation", "n_nationkey", "Region", "n_regionkey"),
+        "IN_NATION": lambda: edge("customer", "Customer", "c_custkey", "Nation", "c_nationkey").union(edge("supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey")),
+        "PLACED": lambda: read("orders").select(node_id("Order", "o_orderkey").alias("_id"), node_id("Customer", "o_custkey").alias("_src"), node_id("Order", "o_orderkey").alias("_dst")),
+        "CONTAINS": lambda: line("Part", "l_partkey", "linenumber", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate"),
+        "SUPPLIED_BY": lambda: line("Supplier", "l_suppkey", "linenumber", "quantity"),
+        "PERFORMED": lambda: read("events").select(node_id("Event", "event_id").alias("_id"), node_id("User", "user_id").alias("_src"), node_id("Event", "event_id").alias("_dst")),
+        "NEXT": following,
         "FOLLOWS": follows,
     }
     targets = {"IN_REGION": "Region", "IN_NATION": "Nation", "PLACED": "Order", "CONTAINS": "Part", "SUPPLIED_BY": "Supplier", "PERFORMED": "Event", "NEXT": "Event", "FOLLOWS": "Customer"}
-    return PropertyGraph(tables, rels, targets)
+    keys = {"Region": "regionkey", "Nation": "nationkey", "Customer": "custkey", "Supplier": "suppkey", "Part": "partkey", "Order": "orderkey"}
+    return PropertyGraph(Tables(tables), Tables(rels), targets, {k: (v, _ORDINAL[k] << 48) for k, v in keys.items()}, frozenset(tables))
 
 
 def sample_triples(spark: SparkSession, sf_dir: str) -> RdfStore:

@@ -95,86 +95,113 @@ def _used(df: DataFrame, names: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- Turtle
 
-_TOKEN = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(?:
-    <(?P<iri>[^<>\s]*)> | _:(?P<blank>[\w-]+) | "{3}(?P<long>.*?)"{3} | "(?P<text>(?:[^"\\\n]|\\.)*)" | '(?P<single>(?:[^'\\\n]|\\.)*)' | @(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)
-    | \^\^(?P<typed>) | (?P<number>[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)(?![\w:]) | (?P<word>a|true|false)(?![\w:.-]) | (?P<name>[\w-]*:[\w.%-]*) | (?P<punct>[;,.]) | (?P<bad>\S))""", re.X | re.S)
+_TOKEN = re.compile(r"""\s*(?:\#[^\n]*(?:\n|\Z)\s*)*(?:
+    <(?P<iri>[^<>\s]*)> | _:(?P<blank>[\w-]+) | "{3}(?P<long>.*?)"{3} | "(?P<text>(?:[^"\\\n]|\\.)*)" | '(?P<single>(?:[^'\\\n]|\\.)*)' | @(?P<directive>prefix|base)(?=\s) | (?P<sparql>(?i:prefix|base))(?=\s) | @(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)
+    | \^\^(?P<typed>) | (?P<number>[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)(?![\w:]) | (?P<word>a|true|false)(?![\w:.-]) | (?P<name>[\w-]*:(?:[\w%-]|\.(?=[\w%-]))*) | (?P<punct>[;,.]) | (?P<end>\Z) | (?P<bad>\S))""", re.X | re.S)
 _ESCAPE = re.compile(r'\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|([tbnrf"\'\\]))')
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
-_PREFIX = r"(?i)(?:^|\n)\s*@?prefix\s+([\w-]*):\s*<([^>]*)>\s*\.?"
-_BASE = r"(?i)(?:^|\n)\s*@?base\s*<([^>]*)>\s*\.?"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
 _TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
-def parse_statement(text: str, prefixes: dict[str, str], base: str) -> list[tuple]:
-    """Triples of terms of one Turtle statement; collections and anonymous blank nodes are not accepted."""
+def parse_turtle(text: str, base: str = "") -> list[tuple]:
+    """Triples of terms of a Turtle document; prefixes and base hold from where they stand. Collections and anonymous
+    blank nodes are not accepted; whatever can't be read raises."""
     from urllib.parse import urljoin
 
     unescape = lambda s: _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _PLAIN.get(m[3], m[3]), s)
-    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(text)]
+    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(text) if m.lastgroup != "end"]
+    prefixes: dict[str, str] = {}
     triples, at = [], 0
 
-    def resource(kind: str, value: str) -> tuple:
-        if kind == "iri":
-            return ("iri", urljoin(base, unescape(value)) if base else unescape(value), None, None)
-        if kind == "blank":
-            return ("blank", value, None, None)
-        if kind == "name":
-            prefix, _, rest = value.partition(":")
-            if prefix not in prefixes:
-                raise ValueError(f"unknown prefix {prefix!r}")
-            return ("iri", prefixes[prefix] + rest, None, None)
-        raise ValueError(f"unexpected {value!r} in {text[:80]!r}")
-
-    def node() -> tuple:
+    def take(what: str | None = None, value: str | None = None) -> str:
         nonlocal at
         if at >= len(tokens):
-            raise ValueError(f"the statement ends early: {text[:80]!r}")
-        kind, value = tokens[at]
+            raise ValueError(f"the document ends early: {text[-80:]!r}")
+        kind, found = tokens[at]
+        if what is not None and (kind != what or value not in (None, found)):
+            raise ValueError(f"unexpected {found!r} after {[t[1] for t in tokens[max(0, at - 5) : at]]}")
         at += 1
-        if kind in ("text", "single", "long"):
-            value = unescape(value)
-            if at < len(tokens) and tokens[at][0] == "lang":
-                at += 1
-                return ("literal", value, "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", tokens[at - 1][1])
-            if at < len(tokens) and tokens[at][0] == "typed":
-                at += 2
-                return ("literal", value, resource(*tokens[at - 1])[1], None)
+        return found
+
+    def following(kind: str, value: str | None = None) -> bool:
+        return at < len(tokens) and tokens[at][0] == kind and value in (None, tokens[at][1])
+
+    def absolute(value: str) -> str:
+        return urljoin(base, unescape(value)) if base else unescape(value)
+
+    def resource() -> tuple:
+        if following("iri"):
+            return ("iri", absolute(take()), None, None)
+        if following("blank"):
+            return ("blank", take(), None, None)
+        prefix, _, rest = take("name").partition(":")
+        if prefix not in prefixes:
+            raise ValueError(f"unknown prefix {prefix!r}")
+        return ("iri", prefixes[prefix] + rest, None, None)
+
+    def node() -> tuple:
+        if at < len(tokens) and tokens[at][0] in ("text", "single", "long"):
+            value = unescape(take())
+            if following("lang"):
+                return ("literal", value, "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", take().lower())
+            if following("typed"):
+                take()
+                return ("literal", value, resource()[1], None)
             return ("literal", value, _XSD + "string", None)
-        if kind == "number":
+        if following("number"):
+            value = take()
             return ("literal", value, _XSD + ("double" if "e" in value.lower() else "decimal" if "." in value else "integer"), None)
-        if kind == "word" and value != "a":
-            return ("literal", value, _XSD + "boolean", None)
-        return resource(kind, value)
-
-    subject = node()
-    while at < len(tokens) and tokens[at] != ("punct", "."):
-        if tokens[at] == ("word", "a"):
-            verb, at = ("iri", _TYPE, None, None), at + 1
-        else:
-            verb = node()
-        triples.append((subject, verb, node()))
-        while at < len(tokens) and tokens[at] == ("punct", ","):
-            at += 1
+        if following("word", "true") or following("word", "false"):
+            return ("literal", take(), _XSD + "boolean", None)
+        return resource()
+
+    while at < len(tokens):
+        if following("directive") or following("sparql"):
+            ended = tokens[at][0] == "directive"
+            if take().lower() == "prefix":
+                name = take("name")
+                prefixes[name.removesuffix(":")] = absolute(take("iri"))
+            else:
+                base = absolute(take("iri"))
+            if ended:
+                take("punct", ".")
+            continue
+        subject = resource()
+        while True:
+            verb = ("iri", _TYPE, None, None) if following("word", "a") and take() else resource()
             triples.append((subject, verb, node()))
-        while at < len(tokens) and tokens[at] == ("punct", ";"):
-            at += 1
+            while following("punct", ","):
+                take()
+                triples.append((subject, verb, node()))
+            if not following("punct", ";"):
+                break
+            while following("punct", ";"):
+                take()
+            if following("punct", "."):
+                break
+        take("punct", ".")
     return triples
 
 
-def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """Distinct quads (s, p, o, g) of Turtle files whose statements end in a full stop at a line's end.
+#: Files of up to so many bytes are read whole, each in a task; a larger one is read by lines, one statement to a line.
+MOST_WHOLE = 64 << 20
+
+
+def read_turtle(spark: SparkSession, path: str, base: str = "", most_whole: int = MOST_WHOLE) -> DataFrame:
+    """Distinct quads (s, p, o, g) of Turtle files.
 
-    Spark splits the files at those ends, so large files are read in parallel; prefixes hold for all files of the path.
+    A file's prefixes and base are its own. Lines of files above most_whole bytes are read for themselves, in parallel,
+    as N-Triples files can be; one that needs a prefix or goes on in the next line raises, and nothing is left out.
     """
     from loomgraph.operators.rdf import QUAD
 
-    parts = spark.read.option("lineSep", ".\n").text(path).select(F.regexp_replace("value", r"\.\s*$", "").alias("value"))
-    heads = parts.select(F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(_PREFIX), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(_PREFIX), F.lit(2)).alias("v"))).alias("p")).select("p.k", "p.v").distinct()
-    prefixes = {r.k: r.v for r in heads.collect()}  # the prefixes that the files declare
-    bases = [r[0] for r in parts.select(F.explode(F.regexp_extract_all("value", F.lit(_BASE), F.lit(1)))).distinct().limit(1).collect()]
-    start = bases[0] if bases else base
-    statements = parts.select(F.regexp_replace(F.regexp_replace("value", _PREFIX, "\n"), _BASE, "\n").alias("value")).where(r"value rlike '(?m)^\\s*[^#\\s]'")
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > most_whole).collect()]
+    small = [r["path"] for r in sizes.where(F.col("length") <= most_whole).collect()]  # one name for each file
+    texts = [spark.read.text(files, wholetext=whole).select("value") for whole, files in ((True, small), (False, large)) if files]
+    if not texts:
+        return spark.createDataFrame([], QUAD)
 
     def run(batches):
         import pyarrow as pa
@@ -182,10 +209,11 @@ def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
         term = pa.struct([(n, pa.string()) for n in ("kind", "value", "datatype", "lang")])
         as_dict = lambda t: dict(zip(("kind", "value", "datatype", "lang"), t, strict=True))
         for batch in batches:
-            found = [t for text in batch.column(0).to_pylist() for t in parse_statement(text, prefixes, start)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([as_dict(t[i]) for t in found], term) for i in range(3)), pa.nulls(len(found), term)], names=list("spog"))
+            for text in batch.column(0).to_pylist():
+                if found := parse_turtle(text, base):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([as_dict(t[i]) for t in found], term) for i in range(3)), pa.nulls(len(found), term)], names=list("spog"))
 
-    return statements.mapInArrow(run, QUAD).distinct()
+    return union_all(texts).mapInArrow(run, QUAD).distinct()
 
 
 def turtle_graph(quads: DataFrame) -> PropertyGraph:

@@ -195,7 +195,50 @@ def test_turtle(spark, tmp_path):
     g = files.turtle_graph(quads)
     assert m.scan(g, "n", "Resource").count() == 4 and g.rels["r"].count() == 1
     with pytest.raises(ValueError):
-        files.parse_statement("<a> <b> ( 1 )", {}, "")
+        files.parse_turtle("<a> <b> ( 1 )")
+
+
+def test_turtle_loses_nothing(spark, tmp_path):
+    """Statements on one line, full stops and newlines in literals, prefixes of each file's own; what can't be read raises."""
+    (tmp_path / "a.ttl").write_text('PREFIX : <http://a/>\n:c :d :e . :f :g :h . :i :j """one.\ntwo . " three""", "x . y"@EN-gb .\n')
+    (tmp_path / "b.ttl").write_text("@prefix : <http://b/> . :c :d :e.x . # end . of\n")
+    rows = {(x.s.value, x.o.value, x.o.lang) for x in files.read_turtle(spark, str(tmp_path)).collect()}
+    assert rows == {("http://a/c", "http://a/e", None), ("http://a/f", "http://a/h", None), ("http://a/i", 'one.\ntwo . " three', None), ("http://a/i", "x . y", "en-gb"), ("http://b/c", "http://b/e.x", None)}
+    for bad in ("<a> <b> <c>", "<a> <b> .", "<a> <b> <c> . <d>", ":a :b :c .", '<a> <b> "c'):
+        with pytest.raises(ValueError):
+            files.parse_turtle(bad)
+    lines = "".join(f'<http://x/{i}> <http://p> "{i}" .\n' for i in range(500))
+    (tmp_path / "large").mkdir()
+    (tmp_path / "large" / "c.nt").write_text(lines)
+    assert files.read_turtle(spark, str(tmp_path / "large"), most_whole=1000).count() == 500
+
+
+def test_values_match_whole_strings(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("xabc",), (None,)], "s string")
+    assert [x[0] for x in df.select(v.matches("s", "abc")).collect()] == [True, False, False, None]
+
+
+def test_shortest_paths_have_no_limit(spark):
+    chain = PropertyGraph({"N": spark.range(40).select(F.col("id").alias("_id"))}, {"E": spark.range(39).select(F.col("id").alias("_id"), F.col("id").alias("_src"), (F.col("id") + 1).alias("_dst"))})
+    found = m.shortest_paths(m.scan(chain, "a", "N").where("a__id = 0"), chain, "a", "E", "b").collect()
+    assert len(found) == 40 and max(x.b__distance for x in found) == 39
+
+
+def test_lookup_by_id_reaches_the_scan(spark, sf_dir):
+    from loomgraph.plans.sample import sample_graph
+
+    plan = sample_graph(spark, sf_dir).node_by_id((3 << 48) + 7, "Customer")._jdf.queryExecution().toString()
+    assert "EqualTo(c_custkey,7)" in plan
+
+
+def test_plain_delete_of_connected_nodes_raises(people):
+    with pytest.raises(ValueError):
+        w.delete_nodes(people, "Person", people.nodes["Person"].where("name = 'Bob'"))
+
+
+def test_terms_are_in_canonical_order(spark):
+    store = rdf.RdfStore.of(spark, [(rdf.blank("z"), rdf.iri("m"), rdf.literal("a", lang="EN")), (rdf.blank("z"), rdf.iri("m"), rdf.literal("a", lang="en"))])
+    assert [(x.term.kind, x.term.lang) for x in store.terms().orderBy("term_id").collect()] == [("blank", None), ("iri", None), ("literal", "en")]
 
 
 def test_formats():
