@@ -83,7 +83,7 @@ def in_list(x, values) -> Column:
 
 def matches(s, pattern: str) -> Column:
     """The pattern must match the whole string."""
-    return col(s).rlike(rf"\A(?:{pattern})\z")
+    return col(s).rlike("\\A(?:" + pattern + ")\\z")
 
 
 # ---------------------------------------------------------------- lists

@@ -215,7 +215,7 @@ def test_turtle_loses_nothing(spark, tmp_path):
 
 def test_values_match_whole_strings(spark):
     df = spark.createDataFrame([("abc",), ("abc\n",), ("xabc",), (None,)], "s string")
-    assert [x[0] for x in df.select(v.matches("s", "abc")).collect()] == [True, False, False, None]
+    assert [x[0] for x in df.select(v.matches(F.col("s"), "abc")).collect()] == [True, False, False, None]
 
 
 def test_shortest_paths_have_no_limit(spark):
