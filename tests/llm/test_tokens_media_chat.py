@@ -206,3 +206,39 @@ def test_chat_query(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(chat_format.oracle()).fetchall())
+
+
+def test_token_files_query(spark, sf_dir):
+    """Every document of the table against the library's ids, in order of doc_id."""
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    before, want = 0, []
+    for d, t in docs:
+        ids = encoded("byte_bpe_50k.json", t, 0)
+        want.append((d, before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        before += len(ids)
+    assert sorted(map(tuple, queries.op7_token_files(spark, sf_dir).collect())) == want
+
+
+def test_media_query(spark, sf_dir):
+    """Every document's payload, by the columns of the contract; the stored bytes are read here by a reader of a few lines."""
+    got = {r.doc_id: r for r in queries.op10_media_ts(spark, sf_dir).collect()}
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert len(got) == len(docs)
+    for d, t in docs:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    media = media_ts.mux(payload)
+    units: list[bytes] = []
+    for at in range(2 * 188, len(media), 188):
+        packet = media[at : at + 188]
+        body = packet[4 + (1 + packet[4] if packet[3] & 0x20 else 0) :]
+        units += [body] if packet[1] & 0x40 else []
+        units[-1] += b"" if packet[1] & 0x40 else body
+    assert b"".join(u[14:] for u in units) == payload
+    assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_media_empty_table(spark):
+    assert media_ts.media_digest(docs_of(spark, [])).count() == 0
