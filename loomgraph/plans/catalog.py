@@ -268,10 +268,12 @@ def varlen_unbounded_dag(g):
     return df.select(F.col("s__suppkey").alias("suppkey"), F.col("x__name").alias("place"))
 
 
-@query("with recursive " + FOLLOWS.replace("f as (", "f as materialized (", 1) + ", b as (select 1::bigint as x, 0 as n union select f.t, n + 1 from b join f on f.s = b.x where n < 40) select x as custkey, min(n) as distance from b group by x")
+@query("select c_custkey as custkey, 844424930131968 + c_custkey as node, 0 as distance from customer union all select c_custkey, 562949953421312 + c_nationkey, 1 from customer union all select c_custkey, 281474976710656 + n_regionkey, 2 from customer join nation on c_nationkey = n_nationkey")
 def shortest_path(g):
-    df = m.shortest_paths(m.scan(g, "a", "Customer", properties={"custkey": 1}), g, "a", "FOLLOWS", "b")
-    return df.select((F.col("b__id") - F.lit(3 << 48)).alias("custkey"), F.col("b__distance").alias("distance"))
+    """From every customer to all that it reaches, with no limit on the length."""
+    df = m.shortest_paths(m.scan(g, "a", "Customer").select("a__id"), g, "a", ["IN_NATION", "IN_REGION"], "b")
+    return df.select((F.col("a__id") - F.lit(3 << 48)).alias("custkey"), F.col("b__id").alias("node"), F.col("b__distance").alias("distance"))
+
 
 
 @query("select c_custkey as custkey, o_orderkey as orderkey from customer left join orders on o_custkey = c_custkey")
