@@ -11,8 +11,8 @@ need(|A|, |B|) = ceil(threshold * (|A| + |B|) / (100 + threshold)) shingles.
   member, which is then done in that list, and lists that still hold several components again around another one. Then
   what is left is scanned once: of every pair of members of different components that the size and position bounds
   allow, the smaller one is looked up by size class. So pairs inside a component are never made, and a list with one
-  large component costs its length times the rest; bitmaps of the sets, whose distance is at most that of the sets,
-  leave few pairs that don't link. Every pair is verified on whole texts.
+  large component costs its length times the rest. Bitmaps of the sets, whose distance is at most that of the sets,
+  drop most pairs that don't link before any text is fetched; every other pair is verified on whole texts.
 * The boundary x is the size where enumeration starts to cost more than the scans with their verification (boundary()).
 
 Shingle order: any order makes the prefix bound exact. The one used puts shingles of a table of the at most
@@ -29,7 +29,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ LOCAL_LEAST = 4  # a chunk of a task reports shingles of at least so many of its
 CHUNK = 4_000_000  # shingles counted at a time in a task
 MOST_SEEN = 1 << 20  # set ids that a task remembers so as to report copies once
 SALTS = 64  # tasks for a frequent shingle's list
-BITS = 2048  # of a set's bitmap
+BITS = 2048  # most bits of a bitmap in the last scan
 VERIFYING = 16  # what verifying a pair costs, in rows of an inverted list
 
 
@@ -59,20 +59,29 @@ def _light_classes(n: int, threshold: int, most: int) -> list[tuple[int, int, in
     return [(min(n, m), max(n, m), int(need(n, m, threshold))) for m in range(max(1, low), min(high, most) + 1)]
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """For each of a power of two of classes of shingles, as many as shingles or more, whether the set has an odd number of them.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits, also when the longer one is folded.
+    """
+    size = 64 << (len(tokens) - 1 >> 6).bit_length()
+    return np.packbits(np.bincount((mix(tokens) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
 def _survey(k: int):
     """Task: rows of documents (kind 0) and of locally frequent shingles (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("blob", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("blob", pa.binary()), ("bits", pa.binary())])
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         tokens, counts = tokens[counts >= LOCAL_LEAST].view(np.int64), counts[counts >= LOCAL_LEAST]
         size = len(tokens)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(tokens), pa.array(counts.astype(np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(tokens), pa.array(counts.astype(np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], schema=schema)
 
     def run(batches):
         seen, held, size = set(), [], 0
         for batch in batches:
-            sid, check, n, blob = [], [], [], []
+            sid, check, n, blob, bits = [], [], [], [], []
             for _, tokens in shingle_sets(batch.column(1), k):
                 raw = tokens.tobytes()
                 digest = xxhash.xxh3_128_intdigest(raw)
@@ -80,7 +89,9 @@ def _survey(k: int):
                 check.append((digest & (2**64 - 1)) - (1 << 63))
                 n.append(len(tokens))
                 blob.append(raw if 0 < len(tokens) <= MOST_LIGHT else None)
+                bits.append(None)
                 if len(tokens) and sid[-1] not in seen:
+                    bits[-1] = _bitmap(tokens)
                     if len(seen) >= MOST_SEEN:
                         seen.clear()
                     seen.add(sid[-1])
@@ -90,7 +101,7 @@ def _survey(k: int):
                         yield counted(held)
                         held, size = [], 0
             crc = [xxhash.xxh64_intdigest(x.as_buffer(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x.as_buffer(), 42) >> 63) if x.is_valid else 42 for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(blob, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(blob, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
         if held:
             yield counted(held)
 
@@ -261,31 +272,64 @@ def _star_pairs(lists: DataFrame, threshold: int, light: int, turn: int) -> Data
     return lists.join(hubs, "token").withColumn("meet", F.expr("root <> top") & _bounded(threshold, "n", "m", "pos", "at", light))
 
 
-def _bitmaps(k: int):
-    """Task: (sid, bits) from (sid, text): for each of BITS classes of shingles, whether the set has an odd number of them."""
+def _near(threshold: int):
+    """Task: of the pairs (a, b) with sizes and bitmaps those that differ in no more bits than linked sets can."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                folded = np.bitwise_xor.reduce(np.frombuffer(x + y, np.uint64).reshape(-1, min(len(x), len(y)) // 8), axis=0)
+                keep.append(int(np.bitwise_count(folded).sum()) <= n + m - 2 * need(n, m, threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of set ids that the sets' bitmaps allow."""
+    few = F.broadcast(pairs) if pairs.count() <= MOST_BROADCAST else pairs
+    one = sets.select(F.col("sid").alias("a"), "n", "bits").join(few, "a")
+    both = one.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("marks")), "b")
+    return save(both.select("a", "b", "n", "m", "bits", "marks").mapInArrow(_near(threshold), "a long, b long"), "near")
+
+
+def _size_classes(threshold: int):
+    """Task: (sid, class, own, bits) from (sid, n, bits): a set's own size class and the next two, each with the bitmap folded
+    to the width that all sets have which meet in that class."""
+    base = max(100 / threshold, 1.05)
 
     def run(batches):
         for batch in batches:
-            rows = [np.packbits(np.bincount((mix(tokens) % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64) for _, tokens in shingle_sets(batch.column(1), k)]
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["sid", "bits"])
+            sid, classes, own, bits = [], [], [], []
+            for s, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                first = int(log(n) / log(base))
+                for c in range(first, first + 3):
+                    least = max(1, int(base ** (c - 2)) - 1)
+                    width = min(BITS // 64, 1 << (least - 1 >> 6).bit_length())
+                    sid.append(s)
+                    classes.append(c)
+                    own.append(c == first)
+                    bits.append(np.bitwise_xor.reduce(np.frombuffer(raw, np.int64).reshape(-1, width), axis=0))
+            ends = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(classes, pa.int32()), pa.array(own, pa.bool_()), words], names=["sid", "class", "own", "bits"])
 
     return run
 
 
-def _rest_pairs(lists: DataFrame, bitmaps: DataFrame, threshold: int, light: int) -> DataFrame:
+def _rest_pairs(lists: DataFrame, classes: DataFrame, threshold: int, light: int) -> DataFrame:
     """Pairs (a, b) of members of one list, but of different components, that the bounds allow; b is the smaller set.
 
     In a pair the smaller set has the shingle among its first n - need(n, n) + 1, and its size class is the larger one's
     or the one below. Members of a list's largest component are paired with the others only. Two sets differ in at least
     as many shingles as their bitmaps do in bits, which leaves few pairs that don't link.
     """
-    step = f"cast(floor(ln(n) / ln({max(100 / threshold, 1.05)!r})) as int)"
-    rows = lists.join(bitmaps, "sid").withColumn("class", F.expr(step)).withColumn("main", F.expr("root = most"))
-    large = rows.select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"), F.col("bits").alias("marks"), "main", "class")
-    small = rows.where(f"n - pos >= ceil({2 * threshold} * n / {100 + threshold}.0D)")
-    small = small.select("token", F.col("sid").alias("b"), "n", "pos", "root", "bits", F.col("main").alias("is_main"), F.explode(F.array(F.col("class"), F.col("class") + 1, F.col("class") + 2)).alias("class"))
-    differ = " + ".join(f"bit_count(bits[{i}] ^ marks[{i}])" for i in range(BITS // 64))
+    rows = lists.withColumn("main", F.expr("root = most"))
+    large = rows.join(classes.where("own"), "sid").select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"), F.col("bits").alias("marks"), "main", "class")
+    small = rows.where(f"n - pos >= ceil({2 * threshold} * n / {100 + threshold}.0D)").join(classes, "sid")
+    small = small.select("token", F.col("sid").alias("b"), "n", "pos", "root", "bits", F.col("main").alias("is_main"), "class")
+    differ = " + ".join(f"coalesce(bit_count(get(bits, {i}) ^ get(marks, {i})), 0)" for i in range(BITS // 64))
     close = F.expr(f"{differ} <= n + m - 2 * ceil({threshold} * (n + m) / {100 + threshold}.0D)")
     found = lambda x, y: x.join(y, ["token", "class"]).where(F.expr("root <> top and (m > n or (m = n and a > b))") & _bounded(threshold, "n", "m", "pos", "at", light) & close).select("a", "b")
     return found(small.where("not is_main"), large).union(found(small.where("is_main"), large.where("not main"))).distinct()
@@ -307,8 +351,8 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = save(docs.mapInArrow(_survey(k), "kind int, a long, b long, c long, n long, crc long, blob binary"), "survey")
-    members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("check"), "n", "crc", "blob")
+    survey = save(docs.mapInArrow(_survey(k), "kind int, a long, b long, c long, n long, crc long, blob binary, bits binary"), "survey")
+    members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("check"), "n", "crc", "blob", "bits")
 
     # the bounded table of frequent shingles
     counts = save(survey.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("f")).withColumn("bin", F.floor(F.log2("f") * 8)), "frequent")
@@ -323,7 +367,7 @@ def jaccard_components(
     hot = spark.sparkContext.broadcast((np.sort(keys), table["f"].to_numpy(np.int64)[np.argsort(keys)]))
 
     # sets: one row per distinct set; two hashes guard against sets that share an id by chance
-    sets = save(members.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "crc")).alias("copy"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blob").alias("blob"), (F.min("check") == F.max("check")).alias("same")), "sets")
+    sets = save(members.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "crc")).alias("copy"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blob").alias("blob"), F.first("bits", ignorenulls=True).alias("bits"), (F.min("check") == F.max("check")).alias("same")), "sets")
     if sets.where("not same").limit(1).count():
         raise RuntimeError("two different sets share a 63-bit id")
 
@@ -356,10 +400,10 @@ def jaccard_components(
         last = turn > star_rounds
         if last:
             mixed = save(_mixed(apart), "mixed")
-            found, _ = _texts(docs, sets, mixed.select("sid").distinct(), scratch)
-            bitmaps = save(found.mapInArrow(_bitmaps(k), "sid long, bits array<long>").groupBy("sid").agg(F.first("bits").alias("bits")), "bitmaps")
-            scratch += [mixed, bitmaps]
-            pairs = _rest_pairs(mixed, bitmaps, threshold, light)
+            marked = sets.select("sid", F.col("n").cast("long").alias("n"), "bits").join(mixed.select("sid").distinct(), "sid", "left_semi")
+            classes = save(marked.mapInArrow(_size_classes(threshold), "sid long, class int, own boolean, bits array<long>"), "classes")
+            scratch += [mixed, classes]
+            pairs = _rest_pairs(mixed, classes, threshold, light)
         else:
             around = save(_star_pairs(apart, threshold, light, turn), "stars")
             scratch.append(around)
@@ -399,7 +443,9 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: list[Da
 
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: int, scratch: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) of set ids whose texts link. Up to MOST_BROADCAST pairs go to the texts of a, else both are
-    shuffled; then a's texts meet those of the few sets that are b."""
+    shuffled; then a's texts meet those of the few sets that are b. Only pairs that the bitmaps allow bring their texts."""
+    pairs = _near_pairs(pairs, sets, threshold)
+    scratch.append(pairs)
     found, number = _texts(docs, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), scratch)
     texts = save(found, "texts")
     if texts.count() > number:

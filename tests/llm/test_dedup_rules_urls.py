@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -423,3 +424,22 @@ def test_jaccard_light_side_links_distinct_sets(spark):
     assert got == brute_components([(d, t) for d, t in rows if d >= 999]) and len({c for *_, c in got}) == 1
     assert sum(verified) == 0
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_bitmaps_drop_no_linked_pair():
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 5, 63, 64, 65, 200, 513, 2000, 5000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for part in (1.0, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0):
+            for more in (0, n // 9, n // 4, n):
+                y = np.concatenate([x[: int(part * n)], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+                if len(y):
+                    rows.append((x, y, 100 * int(part * n) >= 80 * (n + len(y) - int(part * n))))
+    marks = [[jaccard_join._bitmap(r[side]) for r in rows] for side in (0, 1)]
+    columns = [pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array([len(r[0]) for r in rows]), pa.array([len(r[1]) for r in rows]), *(pa.array(m, pa.binary()) for m in marks)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "m", "bits", "marks"])
+    kept = set(next(iter(jaccard_join._near(80)([batch]))).column(0).to_pylist())
+    linked = {i for i, r in enumerate(rows) if r[2]}
+    assert linked and linked <= kept
+    assert not any(i in kept for i, (x, y, _) in enumerate(rows) if len(x) >= 200 and not np.isin(x, y).any())
